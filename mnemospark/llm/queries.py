@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": oracles.OP6,
