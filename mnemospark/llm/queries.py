@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
+from .fingerprint import op8_fingerprint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
+    "op8_fingerprint": op8_fingerprint,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
