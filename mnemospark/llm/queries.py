@@ -11,14 +11,17 @@ from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
 from .fingerprint import op8_fingerprint
 from .substring_dedup import op1_substring_dedup
+from .warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
     "op8_fingerprint": op8_fingerprint,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
     "op6_decontaminate": oracles.OP6,
+    "op7_warc": oracles.OP7,
 }
