@@ -30,12 +30,26 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts the lineage, and a lost
-    executor takes nothing with it."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor takes nothing with it.  The shuffle files of the write go as soon as it has ended.
+    batch_rows: rows of an Arrow batch, for plans whose rows are large."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    settings = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -46,11 +60,6 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now, before the next ones add theirs."""
-    spark._jvm.System.gc()
-
-
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds at most about max_chars characters (one row at least)."""
     for batch in batches:

@@ -6,12 +6,15 @@ cover positions in both documents.  Only the anchors at cover positions are hash
 positions); anchors that occur in two documents or more mark the places where a run of L words can be
 shared, and only the windows there are extended to L words and compared.
 
-Steps: (1) anchors, pre-aggregated to (hash, least and greatest document), keep the hashes of two
-documents or more; (2) the positions of those anchors, joined back (a hot anchor is a skewed join, which
-Spark splits); (3) the windows of L words around them, identified by two independent 64-bit hashes, and
-for each window the least document that has it; (4) words covered by a window that a smaller document
+Steps: (1) anchors, pre-aggregated to (hash, least document and its position, greatest document), keep
+the hashes of two documents or more; (2) the positions of those anchors, joined back (a hot anchor is a
+skewed join, which Spark splits); (3) overlapping anchors that stand equally far apart in the same smaller
+document are extended to one run: at L words or more, its windows are known to be repeated; (4) the other
+windows of L words around a shared anchor are identified by two independent hashes (64 and 32 bits), and
+for each the least document that has it is found; the least document of a window always takes part, as
+no smaller one can make the window known.  (5) Words in a known run or in a window that a smaller document
 also has are removed.  No step pairs documents, so a passage that a third of all documents share costs a
-row per occurrence.
+row per occurrence at most.
 
 Defined results: a null text has no words; windows are taken within one row; rows of equal doc_id are one
 document's rows, none of which is smaller than another, so copies that share an id stay; rows with a null
@@ -25,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, free_shuffles, stored, text_chunks
+from .common import drop_stored, stored, text_chunks
 from .tokens import Words
 
 WINDOW = 50
@@ -58,51 +62,85 @@ def _anchor_rows(window: int):
             at = np.flatnonzero(member[pos % v] & (pos + size <= w.n[w.doc]) & (w.n[w.doc] >= window))
             h = w.window_hash(w.window_sums(), at, size)
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]]
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos[at].astype(np.int32))], names=["h", "doc_id", "pos"])
+            tie = part.column("tie").to_numpy(zero_copy_only=False)[w.doc[at]]
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(pos[at].astype(np.int32))], names=["h", "doc_id", "tie", "pos"])
 
     return run
 
 
-def _candidates(w: Words, row: int, positions: np.ndarray, window: int) -> np.ndarray:
-    """Numbers of the windows of text `row` (counted in the batch) that hold one of the anchors at positions."""
-    n, v = int(w.n[row]), period(window)
-    if n < window or not len(positions):
-        return np.zeros(0, np.int64)
-    step = np.zeros(n - window + 2, np.int64)  # an anchor at p lies in the windows p - v + 1 .. p
-    np.add.at(step, np.clip(positions - v + 1, 0, n - window + 1), 1)
-    np.add.at(step, np.clip(positions + 1, 0, n - window + 1), -1)
-    return int(w.first[row]) + np.flatnonzero(np.cumsum(step[:-1]) > 0)
-
-
-def _window_rows(window: int):
+def _list_fields(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of arrays of structs: the row of each element, and the fields of the elements."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(n)), n), [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
+
+
+class _Marks:
+    """The shared anchors of a batch: where windows can be shared, and runs known to be in a smaller document."""
+
+    def __init__(self, w: Words, part: pa.RecordBatch, window: int, extend: bool):
+        row, (pos, lo, lo_pos) = _list_fields(part.column("anchors"))
+        order = np.lexsort((pos, row))
+        row, pos, lo, lo_pos = row[order], pos[order].astype(np.int64), lo[order], lo_pos[order].astype(np.int64)
+        self.w, self.window, self.at = w, window, w.first[row] + pos
+        size = window - period(window) + 1
+        doc = part.column("doc_id").to_numpy(zero_copy_only=False)
+        later = (lo < doc[row]) & extend if len(row) else np.zeros(0, bool)
+        # overlapping anchors that stand equally far apart in the same smaller document make one equal run
+        linked = (row[1:] == row[:-1]) & later[1:] & (lo[1:] == lo[:-1]) & (pos[1:] - pos[:-1] == lo_pos[1:] - lo_pos[:-1]) & (pos[1:] - pos[:-1] <= size)
+        head = np.concatenate(([True], ~linked))[: len(row)]
+        begin = np.flatnonzero(head)
+        end = np.concatenate((begin[1:] - 1, [len(row) - 1]))[: len(begin)]
+        long = later[begin] & (pos[end] + size - pos[begin] >= window)
+        self.run_start, self.run_end = self.at[begin[long]], self.at[end[long]] + size
+
+    def _cover(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        step = np.zeros(len(self.w.start) + 1, np.int64)
+        np.add.at(step, start, 1)
+        np.add.at(step, end, -1)
+        return np.cumsum(step[:-1]) > 0
+
+    def open_windows(self) -> np.ndarray:
+        """Word numbers where windows begin that hold a shared anchor and lie in no known run."""
+        w, window = self.w, self.window
+        row = np.searchsorted(w.first, self.at, side="right") - 1
+        last = w.first[row] + w.n[row] - window + 1
+        maybe = self._cover(np.maximum(self.at - period(window) + 1, w.first[row]), np.minimum(self.at + 1, last))
+        return np.flatnonzero(maybe & ~self._cover(self.run_start, self.run_end - window + 1))
+
+    def removed(self, part: pa.RecordBatch) -> np.ndarray:
+        """For each word: is it in a known run or in one of the repeated windows?"""
+        row, (pos,) = _list_fields(part.column("repeated"))
+        at = self.w.first[row] + pos
+        return self._cover(np.concatenate((self.run_start, at)), np.concatenate((self.run_end, at + self.window)))
+
+
+def _window_rows(window: int, extend: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
             w = Words(part.column("text").to_pylist())
-            at = np.concatenate([np.zeros(0, np.int64), *(_candidates(w, i, np.asarray(p, np.int64), window) for i, p in enumerate(part.column("anchors").to_pylist()))])
+            at = _Marks(w, part, window, extend).open_windows()
             h1, h2 = (w.window_hash(w.window_sums(s), at, window, s) for s in (0, 1))
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]]
+            tie = part.column("tie").to_numpy(zero_copy_only=False)[w.doc[at]]
             pos = (at - w.first[w.doc[at]]).astype(np.int32)
-            yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(pos)], names=["h1", "h2", "doc_id", "pos"])
+            yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(tie), pa.array(pos)], names=["h1", "h2", "doc_id", "tie", "pos"])
 
     return run
 
 
-def _kept_rows(window: int):
+def _kept_rows(window: int, extend: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
             w = Words(part.column("text").to_pylist())
-            n_removed, digest, texts = [], [], []
-            for i, p in enumerate(part.column("repeated").to_pylist()):
-                lo, n = int(w.first[i]), int(w.n[i])
-                step = np.zeros(n + 1, np.int64)
-                if p and n >= window:
-                    p = np.unique(np.asarray(p, np.int64))
-                    step[p] += 1
-                    step[p + window] -= 1
-                keep = np.cumsum(step[:-1]) == 0
-                words = w.word_bytes(lo, lo + n)
-                kept = b" ".join(words if keep.all() else [x for x, k in zip(words, keep.tolist(), strict=True) if k])
-                n_removed.append(n - int(keep.sum()))
+            gone = _Marks(w, part, window, extend).removed(part)
+            n_removed = np.add.reduceat(np.concatenate((gone, [False])), np.minimum(w.first[:-1], len(gone)), dtype=np.int64)
+            n_removed = np.where(w.n > 0, n_removed, 0)
+            digest, texts = [], []
+            for i, k in enumerate(n_removed.tolist()):
+                lo, hi = int(w.first[i]), int(w.first[i + 1])
+                words = w.word_bytes(lo, hi)
+                kept = b" ".join([x for x, g in zip(words, gone[lo:hi].tolist(), strict=True) if not g] if k else words)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode("utf-8", "surrogatepass"))
             yield pa.record_batch([part.column("doc_id"), pa.array(w.n.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -110,32 +148,32 @@ def _kept_rows(window: int):
     return run
 
 
-def repeated_windows(base: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, repeated): the positions of windows that also begin in a document of smaller id.
+def repeated_windows(base: DataFrame, window: int = WINDOW, extend: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of base (doc_id long, tie int, text string, without null ids), two frames keyed by (doc_id, tie):
 
-    base: doc_id long, text string, without null ids.  The result is a stored table.
+    anchors: the shared anchors as (pos, lo, lo_pos), lo the least document that has the anchor;
+    repeated: (pos,) of the windows in no run known from the anchors that also begin in a smaller document.
     """
-    spark = base.sparkSession
-    anchors = base.mapInArrow(_anchor_rows(window), "h long, doc_id long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    marked = stored(anchors.join(shared, "h").select("doc_id", "pos"), "anchors")
-    free_shuffles(spark)
-    places = marked.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
-    windows = stored(base.join(places, "doc_id").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, pos int"), "windows")
-    free_shuffles(spark)
+    anchors = base.mapInArrow(_anchor_rows(window), "h long, doc_id long, tie int, pos int")
+    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.min_by("pos", "doc_id").alias("lo_pos"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    marked = stored(anchors.join(shared, "h").select("doc_id", "tie", "pos", "lo", "lo_pos"), "anchors")
+    places = marked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "lo", "lo_pos")).alias("anchors"))
+    windows = stored(base.join(places, ["doc_id", "tie"]).mapInArrow(_window_rows(window, extend), "h1 long, h2 int, doc_id long, tie int, pos int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    later = stored(windows.join(first, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "pos"), "repeated")
-    drop_stored(marked)
+    later = stored(windows.join(first, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "tie", "pos"), "repeated")
     drop_stored(windows)
-    free_shuffles(spark)
-    return later.groupBy("doc_id").agg(F.collect_list("pos").alias("repeated"))
+    return places, later.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos")).alias("repeated"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and kept_text (the kept words joined by a space)."""
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_windows(every.where("doc_id is not null and text is not null"), window)
-    return every.join(found, "doc_id", "left").mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    # rows that share an id are told apart by a hash of their text, and their anchors make no runs
+    unique = every.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    every = every.withColumn("tie", F.lit(0) if unique else F.hash("text"))
+    places, repeated = repeated_windows(every.where("doc_id is not null and text is not null"), window, unique)
+    joined = every.join(places, ["doc_id", "tie"], "left").join(repeated, ["doc_id", "tie"], "left")
+    return joined.mapInArrow(_kept_rows(window, unique), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,5 +47,25 @@ def test_equals_brute_force(spark, window):
     assert key(got) == key(brute(rows, window))
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    run = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(run[:25])), (1, " ".join(run[12:])), (2, " ".join(run)), (2, " ".join(["z", *run[3:20]])), (3, " ".join(run))]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 15).collect()]
+    assert key(got) == key(brute(rows, 15))
+
+
+def test_runs_longer_than_the_window_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(600)]
+    rows = []
+    for d in range(40):  # near copies, cut and shifted, so that runs are known from several smaller documents
+        w = base[rng.randint(0, 80) : rng.randint(300, 600)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 3)}"
+        rows.append((d, " ".join(w)))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert key(got) == key(brute(rows, 50))
+
+
 def test_empty_table(spark):
     assert sd.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
