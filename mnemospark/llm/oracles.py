@@ -36,3 +36,49 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS
   CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
 FROM p LEFT JOIN g ON g.html = p.html
 """
+
+
+def _op3() -> str:
+    url = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    rules = [("example.net/de/8", "block"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("org/es/", "block")]
+    when = [(f"(host = '{r.partition('/')[0]}' OR suffix(host, '.{r.partition('/')[0]}')) AND prefix(path, '/{r.partition('/')[2]}')", r, v) for r, v in rules]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in when) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in when) + " END"
+    out = f"""
+WITH raw AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {url}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {url}, 2) AS path FROM pages),
+u AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM raw),
+l0 AS (SELECT host, path, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, string_split(path, '/') AS parts, '' AS t, '' AS parent FROM u GROUP BY host, path)"""
+    for i in range(1, 5):
+        seg = f"parts[{i + 1}]" if i < 4 else "array_to_string(parts[5:], '/')"
+        s = f"CASE WHEN len(parts) > {i} THEN regexp_replace({seg}, '[0-9]+', '0', 'g') END"
+        out += f""",
+s{i} AS (SELECT *, {s} AS s FROM l{i - 1}),
+w{i} AS (SELECT host, t FROM s{i} WHERE s IS NOT NULL GROUP BY host, t HAVING count(DISTINCT s) > 16),
+l{i} AS (SELECT host, path, labelled, bad, parts, CASE WHEN s IS NULL THEN t WHEN (host, t) IN (SELECT (host, t) FROM w{i}) THEN t || '/*' ELSE t || '/' || s END AS t, CASE WHEN s IS NULL THEN parent ELSE t END AS parent FROM s{i})"""
+    return (
+        out
+        + """,
+leaf AS (SELECT host, parent, t, sum(labelled) AS labelled, sum(bad) AS bad FROM l4 GROUP BY ALL),
+p AS (SELECT *, labelled >= 4 AS enough, (bad + 2.0::DOUBLE) / (labelled + 4.0::DOUBLE) AS p FROM leaf),
+v AS (SELECT *, p * (1 - p) / (labelled + 4.0::DOUBLE) AS v FROM p),
+f AS (SELECT *, CASE WHEN enough AND abs(p - lag(p) OVER w) <= 1.96::DOUBLE * sqrt(v + lag(v) OVER w) THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY host, parent, enough ORDER BY p, t)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY host, parent, enough ORDER BY p, t ROWS UNBOUNDED PRECEDING) AS branch FROM f),
+q AS (SELECT host, t, (sum(bad) OVER m + 2.0::DOUBLE) / (sum(labelled) OVER m + 4.0::DOUBLE) AS purity FROM b WINDOW m AS (PARTITION BY host, parent, enough, branch))
+SELECT page_id, u.host, u.path, rule, coalesce(ruled, CASE WHEN purity >= 0.75 THEN 'block' ELSE 'allow' END) AS verdict, l4.t AS template
+FROM u LEFT JOIN l4 ON l4.host = u.host AND l4.path = u.path LEFT JOIN q ON q.host = l4.host AND q.t = l4.t
+"""
+    )
+
+
+OP3 = _op3()
+
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pr JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = to_id),
+c AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
