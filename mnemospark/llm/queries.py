@@ -11,6 +11,7 @@ from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
 from .fingerprint import op8_fingerprint
 from .near_duplicates import op9_near_duplicates
+from .pii import op5_pii
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op2_toxicity
 from .url_filter import op3_url_filter
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
+    "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_fingerprint": op8_fingerprint,
