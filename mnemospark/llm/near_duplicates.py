@@ -9,14 +9,19 @@ collection with probability 0.512, and is missed only if it agrees in fewer than
 1. Documents with equal sets are one node (its least id), so copies cost one row each.
 2. Only collections in which a node agrees with another node count: a node with fewer than two of them is
    in no shared table.  The others make their table keys from pairs of those collections.
-3. In each bucket of a table every node is paired with one centre, chosen by a hash of node and bucket.
-   Pairs are filtered by size (a bound on the similarity) and by their 60 minhashes (an estimate, at 34 of
-   60 or more), and confirmed on the full sets.  Confirmed links give components.
-4. Buckets whose nodes are then in one component are settled.  In the others, all nodes outside the
-   bucket's largest component are paired with all nodes of other components, if at most MINORITY are
-   outside; larger ones are split by the key of a third, fourth, ... collection and treated again.  So no
-   pair of a bucket is left out unless both are in one component by then, or disagree in every further
-   collection, and no bucket is expanded into all its pairs.
+3. In each bucket of a table every node is paired with the bucket's least node.  Pairs are filtered by size
+   (a bound on the similarity) and by their 60 minhashes (34 equal ones or more), and confirmed on the full
+   sets.  Confirmed links give components; buckets whose nodes are then in one component are settled.
+4. In unsettled buckets of up to SMALL nodes, all nodes outside the bucket's largest component are paired
+   with all nodes of other components, and confirmed as above.
+5. The nodes of larger unsettled buckets are grouped by the key of the bucket's first collection, the groups
+   dealt into chunks of bounded bytes, and each two chunks compared in one task, set against set (a product
+   of incidence matrices over the shingles that two of them share at least).  A pair is compared only in the
+   group of the first collection that it agrees in, and only if it agrees in two or more and its components
+   differ; a task returns which components are linked, not pairs.
+
+So every pair that shares a table is either confirmed or refused on its full sets, or in one component by
+other links, and no step makes rows of all the pairs of a bucket.
 
 Defined results: words are what stands between white space, lower-cased in A-Z; a text of fewer words than
 a shingle has one shingle of all its words; a null text or one without words has an empty set and is linked
@@ -33,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, text_chunks
+from .common import stored, text_chunks
 from .components import connected_components
 from .tokens import Words, mix64
 
 COLLECTIONS, ROWS = 20, 3
 #: Least number of equal minhashes, of 60, of a pair that goes on to the full sets: at similarity 0.8 about 1 pair in a million has fewer.
 AGREE = 34
-#: Nodes outside a bucket's largest component up to which they are paired with all others there.
-MINORITY = 40
+#: Nodes of an unsettled bucket up to which its pairs are made in a join.
+SMALL = 64
+#: Nodes, and bytes of their sets, of one chunk of a large group.
+CHUNK_NODES, CHUNK_BYTES = 1024, 8 << 20
 PERCENT = 80
 
 _rng = np.random.default_rng(20240229)
@@ -131,6 +138,58 @@ def _confirmed(percent: int):
     return run
 
 
+def _linked(x: dict, y: dict, percent: int, first: int, same: bool) -> list[tuple[int, int]]:
+    """Linked components of two chunks of a group: pairs of labels whose nodes agree in collection `first`
+    before any other, in one more at least, and are similar enough on their full sets."""
+    nx = len(x["label"])
+    members = [np.frombuffer(m, np.uint64) for m in (x["members"] if same else [*x["members"], *y["members"]])]
+    size = np.array([len(m) for m in members])
+    keys = np.array(x["keys"] if same else [*x["keys"], *y["keys"]], np.int64)
+    label = np.array(x["label"] if same else [*x["label"], *y["label"]], np.int64)
+    left, right = slice(0, nx), slice(0, nx) if same else slice(nx, None)
+    small, large = np.minimum(size[left, None], size[None, right]), np.maximum(size[left, None], size[None, right])
+    wanted = (label[left, None] != label[None, right]) & (100 * small >= percent * large)
+    agree = np.zeros(wanted.shape, np.int8)
+    for c in range(keys.shape[1]):
+        equal = keys[left, c][:, None] == keys[None, right, c]
+        agree += equal
+        if c < first:
+            wanted &= ~equal
+    wanted &= agree >= 2
+    if not wanted.any():
+        return []
+    # only shingles that two of the sets share can count
+    flat = np.concatenate(members)
+    owner = np.repeat(np.arange(len(members)), size)
+    _, shingle, n = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1)
+    column = number[shingle]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros(wanted.shape, np.float32)
+    step = 4096
+    for lo in range(0, int(number.max()) + 1, step):
+        a, b = np.searchsorted(column, (lo, lo + step))
+        block = np.zeros((len(members), step), np.float32)
+        block[owner[a:b], column[a:b] - lo] = 1
+        both += block[left] @ block[right].T
+    union = size[left, None] + size[None, right] - both
+    i, j = np.nonzero(wanted & (100 * both >= percent * union))
+    return list({(int(a), int(b)) for a, b in zip(np.minimum(label[left][i], label[right][j]), np.maximum(label[left][i], label[right][j]), strict=True)})
+
+
+def _compared(percent: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        first, _, lo, hi = (k.as_py() for k in key)
+        side = lambda chunk: group.filter(pa.array(group.column("chunk").to_numpy() == chunk)).select(["label", "keys", "members"]).to_pydict()
+        x = side(lo)
+        found = _linked(x, x if lo == hi else side(hi), percent, first, lo == hi)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
 class _Finder:
     """The tables that candidate pairs are confirmed against, and the components found so far."""
 
@@ -156,12 +215,20 @@ class _Finder:
             return
         of = self.labels
         lifted = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        lifted = lifted.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-        between = lifted.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
-        top = connected_components(between)
-        every = of.union(lifted.select(F.col("a").alias("node"), F.col("la").alias("label"))).union(lifted.select(F.col("b").alias("node"), F.col("lb").alias("label"))).distinct()
-        every = every.join(top.select(F.col("node").alias("label"), F.col("label").alias("best")), "label", "left")
-        self.labels = stored(every.select("node", F.coalesce("best", "label").alias("label")), "labels")
+        self.unite(lifted.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+
+    def unite(self, links: DataFrame) -> None:
+        """Unite components, given as pairs (a, b) of labels; the label of an unlinked node is the node."""
+        between = stored(links.where("a <> b").distinct(), "between")
+        if between.isEmpty():
+            return
+        top = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("best"))
+        if self.labels is None:
+            self.labels = top.select(F.col("label").alias("node"), F.col("best").alias("label"))
+            return
+        lone = top.join(self.labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("best").alias("label"))
+        moved = self.labels.join(top, "label", "left").select("node", F.coalesce("best", "label").alias("label"))
+        self.labels = stored(moved.unionByName(lone), "labels")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -193,39 +260,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     flat = nodes.select("node", F.posexplode("keys").alias("c", "key"))
     shared = stored(flat.groupBy("c", "key").agg(F.count("*").alias("agree")).where("agree > 1").select("c", "key"), "shared")
     alive = flat.join(shared, ["c", "key"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("own")).where(F.size("own") >= 2)
-    alive = stored(alive.join(nodes.select("node", "n"), "node"), "alive")
+    alive = stored(alive.join(nodes.select("node", "n", "keys"), "node"), "alive")
     texts = base.where("doc_id is not null").select(F.col("rid").alias("node"), "text")
     sets = stored((texts if unique else texts.dropDuplicates(["node"])).join(alive.select("node"), "node", "left_semi").mapInArrow(_set_rows(size), "node long, members binary"), "sets")
 
     finder = _Finder(nodes, sets, percent)
-    # (bucket, node, n, c): a table key of two collections, c the later of the two
     two = alive.select("node", "n", "own", F.posexplode("own").alias("i", "x")).select("node", "n", "x", F.explode(F.slice("own", F.col("i") + 2, COLLECTIONS)).alias("y"))
-    rows = two.select(F.xxhash64("x.c", "x.key", "y.c", "y.key").alias("bucket"), "node", "n", F.col("y.c").alias("c"))
-    level = 2
-    while True:
-        many = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "bucket")).alias("centre"), F.min_by("n", F.xxhash64("node", "bucket")).alias("centre_n")).where("size > 1")
-        many = stored(many, "many")
-        full = stored(rows.join(many, "bucket").select("bucket", "node", "n", "c", "centre", "centre_n"), "buckets")
-        if full.isEmpty():
-            break
-        finder.add(_pairs(full, "node", "n", "centre", "centre_n", percent))
-        now = finder.labelled(full.select("bucket", "node", "n", "c"))
-        each = now.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-        open_ = each.groupBy("bucket").agg(F.sum("k").alias("size"), F.max_by("label", "k").alias("main"), F.max("k").alias("k")).where("size > k")
-        open_ = stored(open_, "unsettled")
-        todo = stored(now.join(open_.select("bucket", "main", (F.col("size") - F.col("k")).alias("outside")), "bucket"), "open")
-        drop_stored(full)
-        last = level == COLLECTIONS
-        direct = todo if last else todo.where(F.col("outside") <= MINORITY)
-        x = direct.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        y = direct.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-        finder.add(_pairs(x.join(y, "bucket").where("lx <> ly"), "x", "nx", "y", "ny", percent))
-        large = todo.where(F.col("outside") > MINORITY)
-        if last or large.isEmpty():
-            break
-        more = large.select("bucket", "node", "n", "c").join(alive.select("node", "own"), "node").select("bucket", "node", "n", "c", F.explode("own").alias("z")).where("z.c > c")
-        rows = more.select(F.xxhash64("bucket", "z.c", "z.key").alias("bucket"), "node", "n", F.col("z.c").alias("c"))
-        level += 1
+    rows = two.select(F.xxhash64("x.c", "x.key", "y.c", "y.key").alias("bucket"), "node", "n", F.col("x.c").alias("c"), F.col("x.key").alias("key"))
+    many = stored(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre"), F.min_by("n", "node").alias("centre_n")).where("size > 1"), "many")
+    full = stored(rows.join(many, "bucket"), "buckets")
+    finder.add(_pairs(full, "node", "n", "centre", "centre_n", percent))
+
+    now = finder.labelled(full.select("bucket", "node", "n", "c", "key", "size"))
+    each = now.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    open_ = stored(each.groupBy("bucket").agg(F.max_by("label", "k").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main"), "unsettled")
+    todo = stored(now.join(open_, "bucket"), "open")
+    small = todo.where(F.col("size") <= SMALL)
+    x = small.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    y = small.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    finder.add(_pairs(x.join(y, "bucket").where("lx <> ly"), "x", "nx", "y", "ny", percent))
+
+    large = stored(finder.labelled(todo.where(F.col("size") > SMALL).select("c", "key", "node", "n").distinct()), "large")
+    if not large.isEmpty():
+        chunks = F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int")
+        groups = stored(large.groupBy("c", "key").agg(chunks.alias("chunks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c", "key", "chunks"), "groups")
+        dealt = large.join(groups, ["c", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+        dealt = dealt.join(alive.select("node", "keys"), "node").join(sets, "node").select("c", "key", "chunk", "label", "keys", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        dealt = dealt.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other")
+        finder.unite(stored(dealt.groupBy("c", "key", "lo", "hi").applyInArrow(_compared(percent), "a long, b long"), "compared"))
 
     known = finder.labelled(members)
     least = stored(known.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

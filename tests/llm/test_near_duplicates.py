@@ -68,11 +68,13 @@ def test_repeated_and_null_ids(spark):
     assert key(run(spark, rows, 5)) == key(brute(rows, 5))
 
 
-def test_large_open_buckets_are_split(spark, monkeypatch):
-    """With a bound of one outsider, nearly every mixed bucket is split by further collections."""
-    monkeypatch.setattr(nd, "MINORITY", 1)
+@pytest.mark.parametrize("nodes", [7, 1024])
+def test_large_unsettled_buckets_are_compared_in_chunks(spark, monkeypatch, nodes):
+    """Families around the threshold, many of whose members are similar but not linked."""
+    monkeypatch.setattr(nd, "SMALL", 2)
+    monkeypatch.setattr(nd, "CHUNK_NODES", nodes)
     rng = random.Random(8)
-    rows = list(enumerate(families(rng, 3, 40, 60, 5)))
+    rows = list(enumerate(families(rng, 3, 60, 60, 5)))
     assert key(run(spark, rows, 4)) == key(brute(rows, 4))
 
 
