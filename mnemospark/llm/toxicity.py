@@ -41,7 +41,7 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos"), ("negros", "blancos"), ("inmigrantes", "refugiados"),
 )
 BEGINNINGS = (4, 5, 6)
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 MAX_FEATURES = 50_000
 THRESHOLD = 0.3
 
@@ -120,22 +120,34 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
         known = known.where(keep)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_sample_rows(terms), "toxic int, features binary, gone array<binary>, come array<binary>").toArrow().to_pylist()
-    rows = rows[: 4 * sample_rows]  # ids that documents repeat can't make the sample grow without bound
-    return fit([np.frombuffer(r["features"], np.uint64) for r in rows], np.array([r["toxic"] > 0 for r in rows], float), [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for r in rows for a, b in zip(r["gone"], r["come"], strict=True)], max_features, cf_weight)
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], max_features: int = MAX_FEATURES, cf_weight: float = 10.0, ridge: float = 2e-4, lasso: float = 3e-4, steps: int = 400) -> Model:
-    """Logistic regression on feature presence with the three penalties, by proximal Adam steps."""
-    n, positive = len(rows), float(y.sum())
+    sent = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_sample_rows(terms), "toxic int, features binary, gone array<binary>, come array<binary>")
+    got = sent.limit(2 * sample_rows).toArrow()  # rows that share an id can't make the sample grow without bound
+    y = (got.column("toxic").to_numpy() > 0).astype(float)
+    pairs = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for g, c in zip(got.column("gone").to_pylist(), got.column("come").to_pylist(), strict=True) for a, b in zip(g, c, strict=True)]
+    blobs = got.column("features").to_pylist()
+    del got
+    sizes = np.array([len(x) // 8 for x in blobs], np.int64)
+    flat = np.frombuffer(b"".join(blobs), np.uint64)
+    del blobs
+    return fit(flat, sizes, y, pairs, max_features, cf_weight)
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], max_features: int = MAX_FEATURES, cf_weight: float = 10.0, ridge: float = 2e-4, lasso: float = 3e-4, steps: int = 400) -> Model:
+    """Logistic regression on feature presence with the three penalties, by proximal Adam steps.
+
+    flat: the features of all rows, row after row; sizes: how many each row has; y: 1 for toxic rows;
+    pairs: features that a swap of group terms takes away from a sentence, and those that it brings.
+    """
+    n, positive = len(sizes), float(y.sum())
     prior = (positive + 0.5) / (n + 1) if n else 0.05
     none = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not 0 < positive < n:
         return none
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    names, index, df = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(index, weights=y[doc], minlength=len(names))
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    names, df = np.unique(flat, return_counts=True)
+    seen, count = np.unique(flat[y[doc] > 0], return_counts=True)
+    hits = np.zeros(len(names))
+    hits[np.searchsorted(names, seen)] = count
     a, b = hits + 0.5, df - hits + 0.5
     odds = np.log(a / (positive + 1)) - np.log(b / (n - positive + 1))
     z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
@@ -143,22 +155,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     telling = telling[np.argsort(-z[telling], kind="stable")[:max_features]]
     if not len(telling):
         return none
-    number = np.full(len(names), -1)
-    number[telling] = np.arange(len(telling))
-    use = number[index] >= 0
-    col, row = number[index][use], doc[use]
+    names = np.sort(names[telling])
 
-    def columns(x: np.ndarray) -> np.ndarray:
+    def columns(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are telling features, and their numbers."""
         at = np.minimum(np.searchsorted(names, x), len(names) - 1)
-        got = number[at[names[at] == x]]
-        return got[got >= 0]
+        known = names[at] == x
+        return known, at[known]
 
-    swaps = [(columns(g), columns(c)) for g, c in pairs]
+    use, col = columns(flat)
+    row = doc[use]
+    swaps = [(columns(g)[1], columns(c)[1]) for g, c in pairs]
     swap_col = np.concatenate([np.zeros(0, np.int64), *(x for p in swaps for x in p)]).astype(np.int64)
     swap_row = np.repeat(np.arange(len(swaps)), [len(g) + len(c) for g, c in swaps]) if swaps else np.zeros(0, np.int64)
     swap_sign = np.concatenate([np.zeros(0), *(np.r_[np.ones(len(g)), -np.ones(len(c))] for g, c in swaps)])
 
-    w, bias = np.zeros(len(telling)), none.bias
+    w, bias = np.zeros(len(names)), none.bias
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weights=w[col], minlength=n), -30, 30)))
@@ -173,9 +185,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
         w = w - step[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(lasso * scale, 0.02), 0)
         bias -= step[-1]
-    order = np.argsort(names[telling])
-    order = order[np.abs(w[order]) > 1e-3]
-    return Model(names[telling][order], w[order], float(bias))
+    used = np.abs(w) > 1e-3
+    return Model(names[used], w[used], float(bias))
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
