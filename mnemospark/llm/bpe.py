@@ -215,8 +215,8 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     return df.withColumn("decoded", text(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text and decode its ids again: counts and digests per row."""
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode every whole text and decode its ids again: counts and digests per row, and the ids if wanted."""
     name = _model(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +225,14 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             ids = bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if keep_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.record_batch(list(out.values()), names=list(out))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def default_vocabulary() -> str:

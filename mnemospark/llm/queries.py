@@ -10,6 +10,7 @@ from . import oracles
 from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
 from .fingerprint import op8_fingerprint
+from .language_id import op4_language_id
 from .near_duplicates import op9_near_duplicates
 from .pii import op5_pii
 from .substring_dedup import op1_substring_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
