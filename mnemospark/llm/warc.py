@@ -153,7 +153,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(record_id, url, html, digest, refers_to) of every row; refers_to is null for responses."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
-    groups = base.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("record_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
+    # stored, so that the join back is between two plain exchanges, whose hot digests Spark splits
+    groups = stored(base.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("record_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top"), "copies")
     refers = F.when(F.col("top") != F.col("record_id"), F.col("top"))
     return base.join(groups, "digest", "left").select("record_id", "url", "html", "digest", refers.alias("refers_to"))
 
