@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .experience import SCHEMA
 
 # The header (magic, version, dim, action_dim or -1, record count) and the scalars of a record.
-HEADER = struct.Struct("<4sIIiQ")
+HEADER = "<4sIIiQ"
+HEADER_SIZE = struct.calcsize(HEADER)
 MAGIC, VERSION = b"MVKA", 1
 SCALARS = (("id", "<u8"), ("episode_id", "<u8"), ("seq_no", "<u4"), ("timestamp_ns", "<u8"), ("pred_err", "<f4"), ("flags", "u1"))
 ALIGN = 4
@@ -68,13 +69,13 @@ def unpack(data: bytes, layout: Layout, torn: bool = False) -> pd.DataFrame:
 
 
 def header(layout: Layout, count: int) -> bytes:
-    return HEADER.pack(MAGIC, VERSION, layout.dim, layout.action_dim or -1, count)
+    return struct.pack(HEADER, MAGIC, VERSION, layout.dim, layout.action_dim or -1, count)
 
 
 def read_header(data: bytes) -> tuple[Layout, int]:
-    if len(data) < HEADER.size:
+    if len(data) < HEADER_SIZE:
         raise ValueError("the file is shorter than its header")
-    magic, version, dim, action_dim, count = HEADER.unpack(data[: HEADER.size])
+    magic, version, dim, action_dim, count = struct.unpack(HEADER, data[:HEADER_SIZE])
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a record file of the known version")
     return Layout(dim, None if action_dim < 0 else action_dim), count
@@ -87,7 +88,7 @@ def read(spark: SparkSession, path: str, torn: bool = True) -> DataFrame:
         for f in frames:
             for data in f["content"]:
                 layout, count = read_header(data)
-                out = unpack(data[HEADER.size :], layout, torn)
+                out = unpack(data[HEADER_SIZE:], layout, torn)
                 if count and len(out) < count:
                     raise ValueError(f"{len(out)} records of {count}")
                 yield out[SCHEMA.names].astype({"flags": "int32"})
