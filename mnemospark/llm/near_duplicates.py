@@ -46,7 +46,7 @@ COLLECTIONS, ROWS = 20, 3
 #: Least number of equal minhashes, of 60, of a pair that goes on to the full sets: at similarity 0.8 about 1 pair in a million has fewer.
 AGREE = 34
 #: Nodes of an unsettled bucket up to which its pairs are made in a join.
-SMALL = 64
+SMALL = 16
 #: Nodes, and bytes of their sets, of one chunk of a large group.
 CHUNK_NODES, CHUNK_BYTES = 1024, 8 << 20
 PERCENT = 80
