@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vec
 from ..sources.experience import by_episode
+from .search import exact_topk, rank
 
 TEMPORAL, ANALOGOUS = 0, 1
 
@@ -21,19 +21,16 @@ def analogous_edges(log: DataFrame, n: int = 3, threshold: float = 0.5, fetch_fa
     """Edges to the n most similar rows of other episodes that were there when the row came.
 
     The n * fetch_factor most similar rows up to and including the row itself are fetched first; the row,
-    its episode and scores below the threshold are removed after that, so fewer than n may be left.  Rows
-    compare with earlier ids only: a range join, ranked by id and score before any vector is needed again.
+    its episode and scores below the threshold are removed after that, so fewer than n may be left.  The
+    fetch is a blocked search: it returns that many rows per row, never all pairs.
     """
     if n <= 0:
         return log.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"), F.lit(ANALOGOUS).alias("edge_type")).where("false")
-    rows = log.select("id", "episode_id", vec.normalize(F.col(vector)).alias("v"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, F.col("b.id") <= F.col("a.id")).select(F.col("a.id").alias("src"), F.col("a.episode_id").alias("ea"), F.col("b.id").alias("dst"), F.col("b.episode_id").alias("eb"), vec.dot(F.col("a.v"), F.col("b.v")).alias("weight"))
-    w = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
-    fetched = pairs.withColumn("fetched", F.row_number().over(w)).where(F.col("fetched") <= n * fetch_factor)
-    kept = fetched.where((F.col("dst") != F.col("src")) & (F.col("ea") != F.col("eb")) & (F.col("weight") >= threshold))
-    kept = kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    return kept.select("src", "dst", "weight", F.lit(ANALOGOUS).alias("edge_type"))
+    fetched = exact_topk(log.select("id", F.col(vector).alias("v")), log.select(F.col("id").alias("query_id"), F.col(vector).alias("v")), n * fetch_factor, "v", upto=True)
+    ends = log.select("id", "episode_id")
+    both = fetched.where("id <> query_id").where(F.col("score") >= threshold).join(ends.withColumnRenamed("episode_id", "eb"), "id").join(ends.select(F.col("id").alias("query_id"), F.col("episode_id").alias("ea")), "query_id")
+    kept = rank(both.where("ea <> eb").drop("rank"), n, "query_id")
+    return kept.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"), F.lit(ANALOGOUS).alias("edge_type"))
 
 
 def bounded_edges(upserts: DataFrame, degree: int) -> DataFrame:

@@ -17,7 +17,7 @@ from ..sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA
 from .components import checkpointed, least_labels
 from .graph import bounded_edges
 from .log import live, pinned
-from .search import exact_topk
+from .search import exact_topk, ivf_topk
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,16 @@ def lowest(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy("keep", "id").limit(n)
 
 
-def near_duplicate_pairs(log: DataFrame, threshold: float, allow_cross_episode: bool = False, k: int = 10) -> DataFrame:
-    """(a, b, score), a < b: live rows that are among each other's k nearest (of all rows, itself included)
-    at the threshold or more, in one episode unless allowed otherwise."""
+def near_duplicate_pairs(log: DataFrame, threshold: float, allow_cross_episode: bool = False, k: int = 10, index: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
+    """(a, b, score), a < b: live rows one of which is among the other's k nearest (of all rows, itself
+    included) at the threshold or more, in one episode unless allowed otherwise.
+
+    Every live row asks: exactly, the work is that of all pairs.  With index (assigned, centroids, nprobe) a
+    row asks its nearest lists only, an equi-join whose work grows with the rows of a list."""
     alive = log.where(live())
     k = min(max(alive.count(), 1), k)
-    found = exact_topk(log.select("id", "z"), alive.select(F.col("id").alias("query_id"), "z"), k)
+    asked = alive.select(F.col("id").alias("query_id"), "z")
+    found = exact_topk(log.select("id", "z"), asked, k) if index is None else ivf_topk(log.select("id", "z"), index[0], index[1], asked, k, index[2])
     eps = alive.select("id", "episode_id")
     pairs = found.where((F.col("id") != F.col("query_id")) & (F.col("score") >= threshold)).join(eps, "id").join(eps.select(F.col("id").alias("query_id"), F.col("episode_id").alias("qe")), "query_id")
     if not allow_cross_episode:

@@ -44,7 +44,7 @@ def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def _scorer(sent, k: int):
+def _scorer(sent, k: int, upto: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = sent.value
         for b in batches:
@@ -54,7 +54,11 @@ def _scorer(sent, k: int):
             if m.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors have {m.shape[1]} elements, queries {q.shape[1]}")
             scores = q @ m.T
+            if upto:
+                scores[ids[None, :] > query_ids[:, None]] = -np.inf
             best = [top_rows(s, ids, k) for s in scores]
+            if upto:
+                best = [x[s[x] > -np.inf] for x, s in zip(best, scores, strict=True)]
             n = [len(x) for x in best]
             at = np.concatenate(best)
             row = np.repeat(np.arange(len(q)), n)
@@ -69,10 +73,11 @@ def rank(found: DataFrame, k: int, *keys: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "z", query_vector: str | None = None) -> DataFrame:
+def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "z", query_vector: str | None = None, upto: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k rows of corpus most similar to each query.
 
-    corpus: (id, vector); queries: (query_id, vector).  All vectors are brought to length 1."""
+    corpus: (id, vector); queries: (query_id, vector).  All vectors are brought to length 1.
+    upto: a query sees the rows with ids up to its own only, those that were there when it came."""
     if k <= 0:
         raise ValueError(f"k must be positive, not {k}")
     spark = corpus.sparkSession
@@ -86,7 +91,7 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "z",
         vectors = t.column("v").combine_chunks() if len(t) else pa.array([], pa.list_(pa.float64()))
         m = _matrix(vectors)
         sent = spark.sparkContext.broadcast((t.column("query_id").to_numpy(), _unit(m) if len(m) else m))
-        part = rows.mapInArrow(_scorer(sent, k), "query_id long, id long, score double")
+        part = rows.mapInArrow(_scorer(sent, k, upto), "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
     return rank(found, k, "query_id")
 
