@@ -1,9 +1,9 @@
 """Exact and inverted-file cosine search for batches of queries.
 
 Queries are the stated, smaller side.  They are taken in blocks of bounded size; a block is broadcast as a
-matrix, each Arrow batch of the corpus is one matrix product with it, and a batch gives at most k rows per
-query.  The final ranking sees ids and scores only, never vectors, and Spark cuts each task's part to k
-rows per query before the shuffle (WindowGroupLimit).  Ties go to the smaller id.
+matrix and multiplied with each Arrow batch of the corpus, STEP queries at a time.  A task keeps the k best
+rows of each query of the block, so it returns at most k rows per query and holds no more than that and one
+score matrix.  The final ranking sees ids and scores only, never vectors.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 
-#: Queries of one broadcast block (2 MB at 64 elements).
-BLOCK = 4096
+#: Queries of one broadcast block (8 MB at 64 elements), and of one matrix product.
+BLOCK, STEP = 16_384, 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -34,35 +34,39 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of one row of scores, best first, ties by id."""
-    if k < len(scores):
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= cut)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def merge_top(best_s: np.ndarray, best_i: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of (best so far, new scores), best first, ties to the smaller id."""
+    s = np.concatenate((best_s, scores), axis=1)
+    i = np.concatenate((best_i, np.broadcast_to(ids, scores.shape)), axis=1)
+    if s.shape[1] > k:
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        cut = np.take_along_axis(s, at, axis=1).min(axis=1)
+        for row in np.flatnonzero(((s >= cut[:, None]).sum(axis=1) > k) & (cut > -np.inf)):  # a tie at the border
+            at[row] = np.lexsort((i[row], -s[row]))[:k]
+        s, i = np.take_along_axis(s, at, axis=1), np.take_along_axis(i, at, axis=1)
+    order = np.lexsort((i, -s), axis=1)
+    return np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
 
 
 def _scorer(sent, k: int, upto: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = sent.value
+        best_s, best_i = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
         for b in batches:
             if not len(b) or not len(q):
                 continue
             ids, m = b.column("id").to_numpy(), _unit(_matrix(b.column("v")))
             if m.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors have {m.shape[1]} elements, queries {q.shape[1]}")
-            scores = q @ m.T
-            if upto:
-                scores[ids[None, :] > query_ids[:, None]] = -np.inf
-            best = [top_rows(s, ids, k) for s in scores]
-            if upto:
-                best = [x[s[x] > -np.inf] for x, s in zip(best, scores, strict=True)]
-            n = [len(x) for x in best]
-            at = np.concatenate(best)
-            row = np.repeat(np.arange(len(q)), n)
-            yield pa.record_batch([pa.array(query_ids[row]), pa.array(ids[at]), pa.array(scores[row, at])], names=["query_id", "id", "score"])
+            parts = []
+            for lo in range(0, len(q), STEP):  # bounds the score matrix to STEP rows
+                scores = q[lo : lo + STEP] @ m.T
+                if upto:
+                    scores[ids[None, :] > query_ids[lo : lo + STEP, None]] = -np.inf
+                parts.append(merge_top(best_s[lo : lo + STEP], best_i[lo : lo + STEP], scores, ids, k))
+            best_s, best_i = (np.concatenate(x) for x in zip(*parts, strict=True))
+        row, at = np.nonzero(best_s > -np.inf)
+        yield pa.record_batch([pa.array(query_ids[row]), pa.array(best_i[row, at]), pa.array(best_s[row, at])], names=["query_id", "id", "score"])
 
     return run
 
