@@ -52,6 +52,9 @@ PIECES = {
     "errs": "SELECT user_id::BIGINT AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, value::DOUBLE AS error FROM events",
     "ema": "SELECT key, ord, error, 0::DOUBLE AS m, 0::DOUBLE AS v, 0 AS n, 0::DOUBLE AS last FROM errs WHERE ord = 1 UNION ALL SELECT x.key, x.ord, x.error, CASE WHEN a.n = 0 THEN a.error ELSE a.m + 0.1::DOUBLE * (a.error - a.m) END, CASE WHEN a.n = 0 THEN 0::DOUBLE ELSE (1::DOUBLE - 0.1::DOUBLE) * (a.v + 0.1::DOUBLE * (a.error - a.m) * (a.error - a.m)) END, a.n + 1, a.error FROM ema a JOIN errs x ON x.key = a.key AND x.ord = a.ord + 1",
     "gate": "SELECT key, ord, error, m AS ema_mean, sqrt(v) AS ema_std, n AS count, n < 10 OR error > m + 1.5::DOUBLE * sqrt(v) AS retrieve, n < 10 OR last > m + 1.5::DOUBLE * sqrt(v) AS retrieve_causal FROM ema",
+    "fusedq": "SELECT query_id, z, CASE WHEN memory IS NULL THEN z ELSE [x / sqrt(list_inner_product(y, y)) FOR x IN y] END AS p FROM (SELECT *, [z[i] * 0.5::DOUBLE + memory[i] * 0.5::DOUBLE FOR i IN range(1, 65)] AS y FROM qm)",
+    "qerr": "SELECT query_id, list_distance(fusedq.z, z_next) ** 2 / 64 AS own, list_distance(p, z_next) ** 2 / 64 AS fused, row_number() OVER (ORDER BY query_id) AS ord FROM fusedq JOIN e ON id = query_id WHERE z_next IS NOT NULL",
+    "qema": "SELECT ord, query_id, own, fused, 0::DOUBLE AS m, 0::DOUBLE AS v, 0 AS n FROM qerr WHERE ord = 1 UNION ALL SELECT x.ord, x.query_id, x.own, x.fused, CASE WHEN a.n = 0 THEN a.own ELSE a.m + 0.1::DOUBLE * (a.own - a.m) END, CASE WHEN a.n = 0 THEN 0::DOUBLE ELSE (1::DOUBLE - 0.1::DOUBLE) * (a.v + 0.1::DOUBLE * (a.own - a.m) * (a.own - a.m)) END, a.n + 1 FROM qema a JOIN qerr x ON x.ord = a.ord + 1",
     # lifecycle
     "fb": "SELECT id, query_id % 3 <> 0 AS helped, 1799000000000000000 + query_id * 1000000000 AS now_ns, query_id AS ord FROM ranked WHERE rank <= 3 AND query_id % 50 <> 0",
     "util": "SELECT id, count(*)::DOUBLE AS utility, arg_max(now_ns, ord) AS last_useful_ns FROM fb WHERE helped GROUP BY id",
@@ -67,7 +70,6 @@ PIECES = {
     "tkeep": "",
     "steps": "SELECT episode_id, list_distance(z, z_next) * list_distance(z, z_next) / 64 AS error FROM e WHERE z_next IS NOT NULL",
 }
-RECURSIVE = {"fold", "ema", "reach"}
 
 
 def _keep(rows: str, weights=(1.0, 1.0, 1.0), utility: bool = False) -> str:
@@ -149,6 +151,7 @@ ORACLES: dict[str, str] = {
     "surprise_gate": _GATED,
     "stream_trigger_equals_batch": _GATED,
     "gated_eval": sql("SELECT key, round(avg(retrieve::INTEGER::DOUBLE), 6) AS retrieval_rate, round(avg(CASE WHEN retrieve THEN error / 2 ELSE error END), 6) AS mean_error FROM gate GROUP BY key"),
+    "gated_retrieval": sql("SELECT query_id, retrieve, round(CASE WHEN retrieve THEN fused ELSE own END, 6) AS error FROM (SELECT *, n < 3 OR own > m + 1.5::DOUBLE * sqrt(v) AS retrieve FROM qema)"),
     "feedback_utility": sql("SELECT id, utility, last_useful_ns FROM util"),
     "keep_scores": sql("SELECT id, round(keep, 6) AS keep FROM (" + _keep("SELECT * FROM e", utility=True) + ")"),
     "evict_victims": sql("SELECT id, round(keep, 6) AS keep FROM victims"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import evaluate as ev
-from ..operators import graph, lifecycle, log, retrieve, search, trigger
+from ..operators import experiment, graph, lifecycle, log, retrieve, search, trigger
 from ..operators.components import checkpointed
 from ..sources import records, synthetic
 from ..sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA, from_tables
@@ -468,22 +468,19 @@ def condition_stats(s, d):
 
 @query
 def experiment_conditions(s, d):
-    """Mean error without memory and with fused memory at several weights, over held-out synthetic episodes."""
-    model = synthetic.SyntheticWorld(16, 4, seed=1)
-    steps = checkpointed(synthetic.trajectories(s, model, 30, 20))
-    split = checkpointed(ev.split_episodes(steps, 0.2))
-    rows = steps.join(split, "episode_id").withColumn("id", F.col("episode_id") * 20 + F.col("seq_no"))
-    memory = rows.where("not held_out").select("id", "episode_id", "seq_no", F.lit(0).cast("long").alias("timestamp_ns"), "pred_err", F.lit(0).alias("flags"), "z", "action")
-    asked = synthetic.model_steps(rows.where("held_out").select(F.col("id").alias("query_id"), "z", "action", "episode_id", "seq_no", "z_next"), model)
-    asked = checkpointed(asked)
-    found = checkpointed(retrieve.recall(memory, asked, 5, action_scale=2.0))
-    context = checkpointed(retrieve.build_context(found, memory, asked, 5, 16, 4))
-    out = None
-    for alpha in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0):
-        p = retrieve.predict(asked, context, alpha).join(asked, "query_id")
-        part = p.select(F.lit(alpha).alias("alpha"), ev.prediction_error(F.col("prediction"), F.col("z_next")).alias("error"))
-        out = part if out is None else out.unionByName(part)
-    return ev.error_stats(out, "error", "alpha")
+    """The nine conditions of the ablation over synthetic episodes."""
+    out = experiment.run_experiment(s, lambda seed: synthetic.SyntheticWorld(8, 2, seed), 10, 6, 3, (0, 1))
+    return ev.condition_stats(out).select("condition", _r("mean_error"), _r("std_error"), "n_steps")
+
+
+@query
+def gated_retrieval(s, d):
+    """Per row that asks: does the surprise gate open on the model's error, and the error after it."""
+    e = from_tables(s, d)
+    q, c = _context(log.with_outcome(e))
+    asked = q.join(log.with_outcome(e).select(F.col("id").alias("query_id"), "z_next"), "query_id").where("z_next is not null").withColumnRenamed("z", "base")
+    fused = retrieve.predict(asked, c, 0.5).join(asked.select("query_id", "z_next"), "query_id").select("query_id", ev.prediction_error(F.col("prediction"), F.col("z_next")).alias("error"))
+    return experiment.gated_errors(asked, fused, trigger.Surprise(warmup=3)).select("query_id", "retrieve", _r("error"))
 
 
 # sources, sinks and streams

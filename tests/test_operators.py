@@ -344,3 +344,18 @@ def test_evaluation(spark):
     r = spark.range(1).select(ev.significant(*lit(1, 0.1, 0.5, 0.1)).alias("a"), ev.significant(*lit(1, 0.3, 0.5, 0.3)).alias("b"), ev.significant(*lit(1, 0.3, 0.5, 0.3), spread=False).alias("c")).first()
     assert tuple(r) == (True, False, True)
     assert "nprobe" in ev.format_table([{"nprobe": 1, "r": 0.5}], ["nprobe", "r"])
+
+
+def test_experiment(spark):
+    from mnemospark.operators import experiment as ex
+    from mnemospark.sources.synthetic import SyntheticWorld
+
+    got = ex.run_experiment(spark, lambda s: SyntheticWorld(6, 2, s), 10, 4, 2, (3,), ex.Settings(alphas=(0.0,), alpha=0.0))
+    errors = {r.condition: r for r in got.collect()}
+    assert set(errors) == set(ex.CONDITIONS) and {r.n_steps for r in errors.values()} == {8}
+    assert len({round(r.error, 12) for r in errors.values()}) == 1  # without fusion every condition is the model alone
+    assert not ex.memory_helps(got) and not ex.graph_helps(got)
+    assert [r["condition"] for r in ex.report(got)] == list(ex.CONDITIONS)
+    asked = spark.createDataFrame([(i, [1.0, 0.0], [1.0, float(i == 7)]) for i in range(12)], "query_id long, base array<double>, z_next array<double>")
+    gated = {r.query_id: r for r in ex.gated_errors(asked, asked.select("query_id", F.lit(9.0).alias("error")), trigger.Surprise(warmup=2)).collect()}
+    assert [q for q in sorted(gated) if gated[q].retrieve] == [0, 1, 7] and gated[7].error == 9.0 and gated[8].error == 0.0
