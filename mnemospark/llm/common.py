@@ -34,13 +34,13 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, batch_rows: int = 2000) -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts the lineage, and a lost
     executor takes nothing with it.  The shuffle files of the write go as soon as it has ended.
-    batch_rows: rows of an Arrow batch, for plans whose rows are large."""
+    batch_rows: rows of an Arrow batch, which bounds what a Python worker and its JVM hold of large rows."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    settings = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    settings = {_CLEAN: "true", _BATCH: str(batch_rows)}
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
@@ -60,7 +60,7 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds at most about max_chars characters (one row at least)."""
     for batch in batches:
         sizes = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]

@@ -46,7 +46,7 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Positional postings of every token of every text: one row per shard of at most about 4 MB of text.
+    """Positional postings of every token of every text: one row per shard of at most about 1 MB of text.
 
     terms: the distinct 64-bit token hashes, ascending; counts: how many postings each has; positions:
     the postings, list after list, each list ascending and delta-coded; first: where each document begins.

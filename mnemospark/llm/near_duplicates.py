@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the least of their component, with all their columns; one row per kept id."""
+    """The documents that are the least of their component, with all their columns (rows that repeat a kept id stay)."""
     kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi"))
 

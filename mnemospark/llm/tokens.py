@@ -34,17 +34,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _pow(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n and base**-0..n modulo 2**64; kept between calls and grown by doubling."""
+    """base**0..n and base**-0..n modulo 2**64; kept between calls, and no longer than the longest batch needs."""
     have = _powers.get(seed)
     if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
+        size = (n >> 18) + 1 << 18
         base = int(_BASES[seed])
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.ones(size, np.uint64)
             done, step = 1, b
             while done < size:  # p[done:2*done] = p[:done] * b**done
-                p[done : 2 * done] = p[:done] * np.uint64(step)
+                p[done : 2 * done] = p[: min(done, size - done)] * np.uint64(step)
                 step = step * step & _M64
                 done *= 2
             out.append(p)
@@ -86,7 +86,9 @@ class Words:
         if seed not in self._hash:
             power, inverse = _pow(seed, len(self.buf) + 1)
             total = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)], out=total[1:])
+            np.add(self.buf, np.uint64(1), out=total[1:])
+            total[1:] *= power[: len(self.buf)]
+            np.cumsum(total, out=total)
             h = (total[self.end] - total[self.start]) * inverse[self.start]
             self._hash[seed] = mix64(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         return self._hash[seed]
