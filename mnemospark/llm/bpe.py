@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import text_chunks
 
-# Fixed value: the pre-tokeniser's pattern of the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+# Fixed value: the pre-tokeniser's pattern of the byte-level vocabularies (runs taken possessively).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
+_BITS = 20  # of a token id
+_NEVER = 1 << 60
+#: Words of one generation of a worker's cache; there are two, and words that are met again move to the younger.
+CACHE_WORDS = 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -58,7 +60,10 @@ class ByteBPE:
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
         self.ids = {b: i for i, b in enumerate(self.bytes) if b and i not in set(self.special.values())}
-        self.longest = max(map(len, self.ids))
+        self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.reach: dict[bytes, int] = {}  # length of the longest token by its first two bytes
+        for b in self.ids:
+            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
         # merges by rank; a token made by no merge is a single byte
         n = self.size
         self.left, self.right, self.rank = np.arange(n), np.arange(n), np.full(n, -1, np.int64)
@@ -75,20 +80,24 @@ class ByteBPE:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_rank = np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        # for words of usual length: (left, right) and (rank, result) as one number each
+        self.joined = {a << _BITS | b: r << _BITS | made for (a, b), (r, made) in self.merge.items()}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.reached = np.zeros(n, np.int8)  # 0: not tested, 1: merging its bytes gives the token, 2: it doesn't
 
     def greedy(self, word: bytes) -> list[int]:
-        ids, out, i = self.ids, [], 0
-        while i < len(word):
-            for j in range(min(len(word), i + self.longest), i, -1):
+        ids, reach, out, i, n = self.ids, self.reach, [], 0, len(word)
+        while i < n:
+            j = min(n, i + reach.get(word[i : i + 2], 1))
+            t = ids.get(word[i:j])
+            while t is None:
+                j -= 1
                 t = ids.get(word[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
-                    break
+            out.append(t)
+            i = j
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,9 +131,26 @@ class ByteBPE:
         return good
 
     def exact(self, word: bytes) -> list[int]:
-        """Merge the adjacent pair of lowest rank, leftmost first, until none is left (a heap of pairs over
-        a linked list of parts, so a word without breaks stays n log n)."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        """Merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+        ids = self.ids
+        parts = [ids[word[i : i + 1]] for i in range(len(word))]
+        if len(parts) > 40:
+            return self._exact_long(parts)
+        get = self.joined.get
+        ranks = [get(a << _BITS | b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != _NEVER:
+            i = ranks.index(best)
+            parts[i : i + 2] = [best & (1 << _BITS) - 1]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] << _BITS | parts[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] << _BITS | parts[i + 1], _NEVER)
+        return parts
+
+    def _exact_long(self, parts: list[int]) -> list[int]:
+        """The same by a heap of pairs over a linked list of parts: n log n for a word without breaks."""
+        parts = list(parts)
         n, merge = len(parts), self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1], parts[i], parts[i + 1]) for i in range(n - 1) if (m := merge.get((parts[i], parts[i + 1])))]
@@ -155,27 +181,36 @@ class ByteBPE:
         for t in np.unique(flat[self.reached[flat] == 0]).tolist():
             self.reached[t] = 1 if self.exact(self.bytes[t]) == [t] else 2
         wrong |= set(owner[self.reached[flat] == 2].tolist())
+        packed = self.packed
         for i, w in enumerate(words):
-            ids = self.exact(raw[i]) if i in wrong else proposed[i]
-            self.cache[w] = np.array(ids, "<u4").tobytes()
+            self.cache[w] = b"".join([packed[t] for t in (self.exact(raw[i]) if i in wrong else proposed[i])])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        pieces: list[list[str | int]] = []
+        pieces: list[list[str]] = []
+        special: dict[str, bytes] = {}
         for t in texts:
-            mine: list[str | int] = []
-            for k, part in enumerate(self.cut(t) if self.cut and any(s in t for s in self.special) else [t]):
-                if k % 2:
-                    mine.append(self.special[part])
-                else:
-                    mine += self.split(part)
-            pieces.append(mine)
+            if self.cut and any(x in t for x in self.special):
+                mine: list[str] = []
+                for k, part in enumerate(self.cut(t)):
+                    if k % 2:  # a key that no word has: words hold no NUL beside other characters of this kind
+                        mine.append(key := f"\0{part}")
+                        special[key] = self.packed[self.special[part]]
+                    else:
+                        mine += self.split(part)
+                pieces.append(mine)
+            else:
+                pieces.append(self.split(t))
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = {w for p in pieces for w in p if w not in self.cache and type(w) is str}
-        self.learn(list(new))
-        cache = self.cache
-        return [b"".join([cache[w] if type(w) is str else np.array([w], "<u4").tobytes() for w in p]) for p in pieces]
+            self.cache, self.older = {}, self.cache
+        new = {w for p in pieces for w in p if w not in self.cache}
+        if special:
+            new.difference_update(special)
+        known = {w: v for w in new if (v := self.older.get(w)) is not None}
+        self.cache.update(known)
+        self.learn(list(new.difference(known)))
+        get = (self.cache | special).__getitem__ if special else self.cache.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
