@@ -155,13 +155,15 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, extend: bool = True)
     repeated: (pos,) of the windows in no run known from the anchors that also begin in a smaller document.
     """
     anchors = base.mapInArrow(_anchor_rows(window), "h long, doc_id long, tie int, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.min_by("pos", "doc_id").alias("lo_pos"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    # stored, so that the join back is between two plain exchanges, whose hot keys Spark splits
+    shared = stored(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.min_by("pos", "doc_id").alias("lo_pos"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "shared")
     marked = stored(anchors.join(shared, "h").select("doc_id", "tie", "pos", "lo", "lo_pos"), "anchors")
     places = marked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "lo", "lo_pos")).alias("anchors"))
     windows = stored(base.join(places, ["doc_id", "tie"]).mapInArrow(_window_rows(window, extend), "h1 long, h2 int, doc_id long, tie int, pos int"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    first = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "first")
     later = stored(windows.join(first, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "tie", "pos"), "repeated")
-    drop_stored(windows)
+    for done in (shared, windows, first):
+        drop_stored(done)
     return places, later.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos")).alias("repeated"))
 
 
