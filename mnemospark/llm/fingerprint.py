@@ -220,7 +220,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return every.repartition(parts, "rng").sortWithinPartitions("rng", "tail", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2 << 20, range_chars: int = RANGE_CHARS) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and their likenesses."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
