@@ -41,6 +41,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 #: Decompressed bytes after which a frame ends, and frame bytes after which a bundle ends.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+#: Decompressed bytes of records that one task reads back.
+TASK_BYTES = 32 << 20
 MIN_REVISIT_BYTES = 1000
 
 INDEX_SCHEMA = "bundle string, frame int, offset long, length long, record_id long"
@@ -146,7 +148,10 @@ def parse_record(data: bytes) -> dict:
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """The file system of a Hadoop path for the Python workers (file, hdfs, s3a, gs, abfs)."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri else f"file://{uri}")
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -219,8 +224,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
         if reader:
             reader.close()
 
-    # frames are the unit of work: (bundle, frame) spreads over tasks and keeps a frame's records together
-    return index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, RECORD_SCHEMA)
+    # frames are the unit of work, dealt by the bytes that they hold and not by the few that an index row has
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    return index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, RECORD_SCHEMA)
 
 
 def lookup(index: DataFrame, folder: str, ids: Iterable[int]) -> DataFrame:
