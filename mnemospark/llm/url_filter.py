@@ -88,6 +88,7 @@ def path_templates(paths: DataFrame) -> DataFrame:
     for i in range(1, DEPTH + 1):
         s = F.col(f"s{i}")
         wild = tree.where(s.isNotNull()).groupBy("host", "template", s.alias("child")).agg(F.count("*").alias("n")).groupBy("host", "template").agg(F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN).select("host", "template", F.lit(True).alias("wild"))
+        wild = stored(wild, "url-wild")  # its size is known then: a small table is broadcast, and the paths aren't dealt by host
         tree = tree.join(wild, ["host", "template"], "left")
         step = F.concat(F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(s))
         tree = tree.withColumn("parent", F.when(s.isNotNull(), F.col("template")).otherwise(F.col("parent"))).withColumn("template", F.when(s.isNotNull(), F.concat("template", step)).otherwise(F.col("template"))).drop("wild")
