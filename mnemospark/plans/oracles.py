@@ -161,6 +161,7 @@ ORACLES: dict[str, str] = {
     "dup_components": sql("SELECT id, labels.label, representative FROM labels JOIN reps ON reps.label = labels.label"),
     "compact_idmap": sql("SELECT old_id, new_id FROM idmap"),
     "compact_rows": sql(_COMPACTED.format("SELECT m.*, t.new_id, t.pin AS flags2 FROM (SELECT new_id, max(CASE WHEN flags = 2 THEN 2 ELSE 0 END) AS pin, arg_max(id, {'e': pred_err, 'i': -id}) AS keeper FROM idmap JOIN marked ON id = old_id WHERE new_id IS NOT NULL GROUP BY new_id) t JOIN marked m ON m.id = keeper").replace("round(pred_err, 6) AS pred_err, flags FROM", "round(pred_err, 6) AS pred_err, flags2 AS flags FROM")),
+    "compact_edges": sql("SELECT src, slot::INTEGER AS slot, dst, 1.0::DOUBLE AS weight, 0 AS edge_type FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY was) - 1 AS slot FROM (SELECT a.new_id AS src, b.new_id AS dst, min(t.src) AS was FROM temporal t JOIN idmap a ON a.old_id = t.src JOIN idmap b ON b.old_id = t.dst WHERE a.new_id <> b.new_id GROUP BY a.new_id, b.new_id)) WHERE slot < 4"),
     "compact_stats": sql("SELECT count(*) AS old_count, count(DISTINCT new_id) AS new_count, count(*) - count(new_id) AS tombstones_dropped, count(new_id) - count(DISTINCT new_id) AS records_merged FROM idmap"),
     "tier_migrate": sql("SELECT id, tier FROM tiers"),
     "tier_promote": sql("SELECT tier, count(*) AS n, min(id) AS first_id FROM (SELECT id, CASE WHEN id = 1 THEN 'hot' ELSE tier END AS tier FROM tiers) GROUP BY tier"),
