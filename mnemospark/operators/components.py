@@ -1,17 +1,25 @@
-"""Connected components by least labels, with lineage cut in the checkpoint folder."""
+"""Connected components by least labels, with lineage cut in the shared folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of its own only where that isn't set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
+    """df as a table written in the folder of spark.checkpoint.dir and read back, which cuts its lineage.
+
+    Unlike checkpoint(), this leaves the constraints behind that the optimiser has inferred for df; carried
+    from round to round of an iteration, they make planning take longer than the work.  The files go when
+    the driver's JVM ends.  A folder of its own is used only where the setting is absent, as in tests."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def least_labels(edges: DataFrame) -> DataFrame:
