@@ -22,7 +22,8 @@ from .sources.store import Store
 @dataclass(frozen=True)
 class Options:
     """action_scale: weight of the action in keys; nprobe and n_lists: an inverted-file index is used once it
-    has been trained; hot_capacity: rows of the hot tier, None for no tiers."""
+    has been trained (nprobe None: it probes until no list can hold a better row); hot_capacity: rows of the
+    hot tier, None for no tiers."""
 
     action_scale: float = 0.0
     scored: bool = False
@@ -31,7 +32,7 @@ class Options:
     max_nodes: int = 50
     fetch_factor: int = 5
     n_lists: int = 100
-    nprobe: int = 1
+    nprobe: int | None = 1
     seed: int = 0
     degree: int = 8
     hot_capacity: int | None = None

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from .components import checkpointed
 
 #: Queries of one broadcast block (8 MB at 64 elements), and of one matrix product.
 BLOCK, STEP = 16_384, 256
@@ -159,15 +160,36 @@ def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, vector: s
     return _lists(queries, centroids, "query_id", max(1, nprobe), vector)
 
 
-def ivf_topk(corpus: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int = 1, vector: str = "z") -> DataFrame:
-    """Top k of each query among the rows of its nprobe nearest lists; it may find fewer than k.
+def ivf_topk(corpus: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int | None = 1, vector: str = "z") -> DataFrame:
+    """Top k of each query among the rows of its nprobe nearest lists; it may find fewer than k and miss better
+    rows elsewhere.  With nprobe None it finds what an exact search finds.
 
     An equi-join on list_id: rows and probes of a list meet, a hot list is split by Spark's skew handling."""
     if k <= 0:
         raise ValueError(f"k must be positive, not {k}")
     members = corpus.select("id", vec.normalize(F.col(vector)).alias("v")).join(assigned.select("id", "list_id"), "id")
-    probes = queries.select("query_id", vec.normalize(F.col(vector)).alias("q")).join(probe_lists(queries, centroids, nprobe, vector).select("query_id", "list_id"), "query_id")
-    return rank(probes.join(members, "list_id").select("query_id", "id", vec.dot(F.col("q"), F.col("v")).alias("score")), k, "query_id")
+    asked = queries.select("query_id", vec.normalize(F.col(vector)).alias("q"))
+
+    def searched(lists: DataFrame) -> DataFrame:
+        return asked.join(lists, "query_id").join(members, "list_id").select("query_id", "id", vec.dot(F.col("q"), F.col("v")).alias("score"))
+
+    if nprobe is not None:
+        return rank(searched(probe_lists(queries, centroids, nprobe, vector).select("query_id", "list_id")), k, "query_id")
+    first = checkpointed(rank(searched(probe_lists(queries, centroids, 1, vector).select("query_id", "list_id")), k, "query_id").drop("rank"))
+    more = open_lists(first, assigned, probe_lists(queries, centroids, centroids.count(), vector).where("probe > 1"), k)
+    return rank(first.unionByName(searched(more)), k, "query_id")
+
+
+def open_lists(found: DataFrame, assigned: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, list_id): the probes whose list may hold a row as good as the k-th that was found.
+
+    A list's rows are within its radius of its centroid, so none is nearer to a query than the centroid's
+    distance less the radius; between vectors of length 1 a distance d is a score of 1 - d * d / 2."""
+    radius = assigned.groupBy("list_id").agg(F.sqrt(F.max("distance")).alias("radius"))  # a row per list
+    least = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    nearest = F.greatest(F.sqrt("distance") - F.col("radius"), F.lit(0.0))
+    reach = probes.join(F.broadcast(radius), "list_id").join(least.select("query_id", "least"), "query_id", "left")
+    return reach.where(F.col("least").isNull() | (1 - nearest * nearest / 2 >= F.col("least") - 1e-9)).select("query_id", "list_id")
 
 
 def bucket_sizes(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -193,8 +215,8 @@ def lloyd_step(rows: DataFrame, centroids: DataFrame, vector: str = "z") -> Data
     return centroids.select("list_id", F.col("centroid").alias("old")).join(moved, "list_id", "left").select("list_id", F.coalesce("centroid", "old").alias("centroid"))
 
 
-def tiered_topk(hot: DataFrame, cold: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int = 1, vector: str = "z") -> DataFrame:
-    """Top k over a hot tier searched exactly and a cold tier searched by its lists."""
+def tiered_topk(hot: DataFrame, cold: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int | None = 1, vector: str = "z") -> DataFrame:
+    """Top k over a hot tier searched exactly and a cold tier searched by its lists, exactly with nprobe None."""
     found = exact_topk(hot, queries, k, vector).drop("rank").withColumn("tier", F.lit("hot"))
     found = found.unionByName(ivf_topk(cold, assigned, centroids, queries, k, nprobe, vector).drop("rank").withColumn("tier", F.lit("cold")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("tier").desc(), "id")  # hot first on ties

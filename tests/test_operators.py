@@ -106,6 +106,26 @@ def test_exact_topk(spark, monkeypatch):
     assert search.exact_topk(e, as_queries(e, [0]), 500).count() == 80
 
 
+def test_inverted_file_probes_until_no_list_can_hold_a_better_row(spark):
+    _, e = experience(spark, 120)
+    c = search.mean_centroids(e, "episode_id")  # lists that say little about nearness
+    a = search.assign_lists(e, c)
+    q = as_queries(e, list(range(0, 120, 10)))
+    pairs = lambda found: sorted((r.query_id, r.id, r["rank"]) for r in found.collect())
+    exact = pairs(search.exact_topk(e, q, 8))
+    assert pairs(search.ivf_topk(e, a, c, q, 8, 3)) != exact
+    assert pairs(search.ivf_topk(e, a, c, q, 8, None)) == exact
+    hot, cold = e.where("id < 20"), e.where("id >= 20")
+    found = search.tiered_topk(hot, cold, search.assign_lists(cold, c), c, q, 8, None)
+    assert pairs(found) == exact
+    near = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "list_id int, centroid array<double>")
+    tight = spark.createDataFrame([(i, i % 2, 0.01) for i in range(6)], "id long, list_id int, distance double")
+    first = spark.createDataFrame([(7, 0, 0.99), (7, 2, 0.98)], "query_id long, id long, score double")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, z array<double>")
+    probes = search.probe_lists(asked, near, 2).where("probe > 1")
+    assert search.open_lists(first, tight, probes, 2).count() == 0 and search.open_lists(first, tight, probes, 3).count() == 1
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, 0, i, NOW, 0.0, 0, [1.0, 0.0], None) for i in range(9)]
     e = spark.createDataFrame(rows, SCHEMA).repartition(3)
