@@ -7,8 +7,11 @@ with rows through an id map, so pins and feedback outlive a compaction.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from ..sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA
 from .components import checkpointed, least_labels
 from .graph import bounded_edges
 from .log import live, pinned
-from .search import exact_topk, ivf_topk
+from .search import BLOCK, STEP, as_matrix, exact_topk, ivf_topk
 
 
 @dataclass(frozen=True)
@@ -78,13 +81,19 @@ def lowest(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy("keep", "id").limit(n)
 
 
-def near_duplicate_pairs(log: DataFrame, threshold: float, allow_cross_episode: bool = False, k: int = 10, index: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
-    """(a, b, score), a < b: live rows one of which is among the other's k nearest (of all rows, itself
-    included) at the threshold or more, in one episode unless allowed otherwise.
+def near_duplicate_pairs(log: DataFrame, threshold: float, allow_cross_episode: bool = False, k: int | None = None, index: tuple[DataFrame, DataFrame, int | None] | None = None) -> DataFrame:
+    """(a, b, score), a < b: live rows at the threshold or more, in one episode unless allowed otherwise.
 
-    Every live row asks: exactly, the work is that of all pairs.  With index (assigned, centroids, nprobe) a
-    row asks its nearest lists only, an equi-join whose work grows with the rows of a list."""
+    Without k all of them: see similar_pairs.  With k only those one of which is among the other's k nearest of
+    all rows, where the row itself, tombstoned rows and other episodes take up places too; groups of more than k
+    rows can fall apart.  Every live row asks: exactly, the work is that of all pairs.  With k and index
+    (assigned, centroids, nprobe) a row asks its nearest lists only, an equi-join whose work grows with the rows
+    of a list."""
     alive = log.where(live())
+    if k is None:
+        if index is not None:
+            raise ValueError("an index is asked for the k nearest: k is missing")
+        return similar_pairs(alive, threshold, allow_cross_episode)
     k = min(max(alive.count(), 1), k)
     asked = alive.select(F.col("id").alias("query_id"), "z")
     found = exact_topk(log.select("id", "z"), asked, k) if index is None else ivf_topk(log.select("id", "z"), index[0], index[1], asked, k, index[2])
@@ -95,6 +104,66 @@ def near_duplicate_pairs(log: DataFrame, threshold: float, allow_cross_episode:
     return pairs.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def similar_pairs(rows: DataFrame, threshold: float, allow_cross_episode: bool = False, spanning: bool = False) -> DataFrame:
+    """(a, b, score), a < b: all rows at the threshold or more, however many partners a row has.
+
+    Copies of a vector (in one episode, unless pairs across are allowed) are one node, their least id, and are
+    paired with that node only.  Blocks of nodes are broadcast and multiplied with each Arrow batch of nodes.
+    spanning: of each such product only links that connect the same nodes, no more than it has nodes, so that
+    a large group doesn't make rows of all its pairs."""
+    group = F.lit(0).cast("long") if allow_cross_episode else F.col("episode_id").cast("long")
+    unit = rows.select(F.col("id").cast("long").alias("id"), group.alias("episode"), vec.normalize(F.col("z")).alias("v"))
+    classes = checkpointed(unit.groupBy("episode", "v").agg(F.min("id").alias("id")))
+    copies = unit.select("episode", "v", F.col("id").alias("b")).join(classes.withColumnRenamed("id", "a"), ["episode", "v"]).where("a <> b").select("a", "b", F.lit(1.0).alias("score"))
+    if threshold > 1:
+        copies = copies.limit(0)
+    blocks, found = max(1, -(-classes.count() // BLOCK)), copies
+    for b in range(blocks):
+        mine = classes if blocks == 1 else classes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        t = mine.toArrow().combine_chunks()
+        sent = rows.sparkSession.sparkContext.broadcast((t.column("id").to_numpy(), t.column("episode").to_numpy(), as_matrix(t.column("v").combine_chunks()) if len(t) else None))
+        found = found.unionByName(classes.mapInArrow(_similar(sent, threshold, spanning), "a long, b long, score double"))
+    return found
+
+
+def _similar(sent, threshold: float, spanning: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, episodes, q = sent.value
+        for batch in batches:
+            if not len(batch) or q is None:
+                continue
+            ids, episode, m = batch.column("id").to_numpy(), batch.column("episode").to_numpy(), as_matrix(batch.column("v"))
+            for lo in range(0, len(q), STEP):  # bounds the score matrix to STEP rows
+                part = slice(lo, lo + STEP)
+                scores = q[part] @ m.T
+                near = (scores >= threshold) & (ids[None, :] > asked[part, None]) & (episode[None, :] == episodes[part, None])
+                i, j = _spanning(near) if spanning else np.nonzero(near)
+                if len(i):
+                    yield pa.record_batch([pa.array(asked[part][i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["a", "b", "score"])
+
+    return run
+
+
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) that connect whatever near connects, fewer than it has rows and columns."""
+    new_row, new_column = near.any(axis=1), near.any(axis=0)
+    rows, columns = [], []
+    for start in np.flatnonzero(new_row):
+        if not new_row[start]:
+            continue
+        new_row[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(near[i] & new_column):
+                new_column[j] = False
+                more = np.flatnonzero(near[:, j] & new_row)
+                new_row[more] = False
+                todo.extend(more)
+                rows += [i, *more]
+                columns += [j] * (1 + len(more))
+    return np.array(rows, np.int64), np.array(columns, np.int64)
+
+
 def duplicate_groups(log: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, label, representative): the components of pairs; the representative has the greatest prediction
     error, ties to the lowest id."""
@@ -111,11 +180,13 @@ def dense_ranks(ids: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(starts), "p").select(F.col("id").alias("old_id"), (F.col("start") + F.col("m") - F.col("lo")).alias("new_id"))
 
 
-def compaction_map(log: DataFrame, threshold: float = 0.98, merge: bool = True, allow_cross_episode: bool = False) -> DataFrame:
-    """(old_id, new_id): tombstoned rows have none, near-duplicates that of their representative."""
+def compaction_map(log: DataFrame, threshold: float = 0.98, merge: bool = True, allow_cross_episode: bool = False, k: int | None = None) -> DataFrame:
+    """(old_id, new_id): tombstoned rows have none, near-duplicates that of their representative.  k as in
+    near_duplicate_pairs."""
     alive = log.where(live()).select("id")
     if merge:
-        groups = checkpointed(duplicate_groups(log, near_duplicate_pairs(log, threshold, allow_cross_episode)).select("id", "representative"))
+        pairs = similar_pairs(log.where(live()), threshold, allow_cross_episode, spanning=True) if k is None else near_duplicate_pairs(log, threshold, allow_cross_episode, k)
+        groups = checkpointed(duplicate_groups(log, pairs).select("id", "representative"))
         target = alive.join(groups, "id", "left").select("id", F.coalesce("representative", "id").alias("target"))
     else:
         target = alive.select("id", F.col("id").alias("target"))
@@ -151,9 +222,9 @@ class Rebuilt:
     stats: dict
 
 
-def compact(log: DataFrame, edges: DataFrame | None = None, threshold: float = 0.98, merge: bool = True, allow_cross_episode: bool = False, degree: int = 8) -> Rebuilt:
+def compact(log: DataFrame, edges: DataFrame | None = None, threshold: float = 0.98, merge: bool = True, allow_cross_episode: bool = False, degree: int = 8, k: int | None = None) -> Rebuilt:
     """Drop tombstoned rows, merge near-duplicates, renumber rows and rebuild edges."""
-    id_map = checkpointed(compaction_map(log, threshold, merge, allow_cross_episode))
+    id_map = checkpointed(compaction_map(log, threshold, merge, allow_cross_episode, k))
     new = checkpointed(apply_map(log, id_map))
     counts = id_map.agg(F.count("*").alias("old"), F.count("new_id").alias("alive"), F.count_distinct("new_id").alias("new")).first()
     stats = {"old_count": counts.old, "new_count": counts.new, "tombstones_dropped": counts.old - counts.alive, "records_merged": counts.alive - counts.new}

@@ -22,7 +22,7 @@ from .components import checkpointed
 BLOCK, STEP = 16_384, 256
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def as_matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long arrays as a matrix of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
@@ -56,7 +56,7 @@ def _scorer(sent, k: int, upto: bool):
         for b in batches:
             if not len(b) or not len(q):
                 continue
-            ids, m = b.column("id").to_numpy(), _unit(_matrix(b.column("v")))
+            ids, m = b.column("id").to_numpy(), _unit(as_matrix(b.column("v")))
             if m.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors have {m.shape[1]} elements, queries {q.shape[1]}")
             parts = []
@@ -94,7 +94,7 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "z",
         mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         t = mine.toArrow().combine_chunks()
         vectors = t.column("v").combine_chunks() if len(t) else pa.array([], pa.list_(pa.float64()))
-        m = _matrix(vectors)
+        m = as_matrix(vectors)
         sent = spark.sparkContext.broadcast((t.column("query_id").to_numpy(), _unit(m) if len(m) else m))
         part = rows.mapInArrow(_scorer(sent, k, upto), "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
@@ -132,7 +132,7 @@ def _nearest(sent, keep: str, n: int, as_query: bool):
         for b in batches:
             if not len(b):
                 continue
-            m = _unit(_matrix(b.column("v")))
+            m = _unit(as_matrix(b.column("v")))
             d = (m * m).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * m @ c.T
             order = np.lexsort((np.broadcast_to(list_ids, d.shape), d), axis=1)[:, :n]
             row = np.repeat(np.arange(len(m)), order.shape[1])

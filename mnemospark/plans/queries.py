@@ -377,36 +377,36 @@ def _marked(e):
 
 @query
 def near_dup_pairs(s, d):
-    return lifecycle.near_duplicate_pairs(_marked(from_tables(s, d)), NEAR).select("a", "b", _r("score"))
+    return lifecycle.near_duplicate_pairs(_marked(from_tables(s, d)), NEAR, k=K).select("a", "b", _r("score"))
 
 
 @query
 def dup_components(s, d):
     e = _marked(from_tables(s, d))
-    return lifecycle.duplicate_groups(e, lifecycle.near_duplicate_pairs(e, NEAR))
+    return lifecycle.duplicate_groups(e, lifecycle.near_duplicate_pairs(e, NEAR, k=K))
 
 
 @query
 def compact_idmap(s, d):
-    return lifecycle.compaction_map(_marked(from_tables(s, d)), NEAR)
+    return lifecycle.compaction_map(_marked(from_tables(s, d)), NEAR, k=K)
 
 
 @query
 def compact_rows(s, d):
-    return _rows(lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR).log)
+    return _rows(lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR, k=K).log)
 
 
 @query
 def compact_edges(s, d):
     e = from_tables(s, d)
     edges = checkpointed(graph.temporal_edges(e).select(F.col("dst").alias("ord"), "src", "dst", "weight", "edge_type"))
-    out = lifecycle.compact(_marked(e), graph.bounded_edges(edges, DEGREE), threshold=NEAR, degree=DEGREE)
+    out = lifecycle.compact(_marked(e), graph.bounded_edges(edges, DEGREE), threshold=NEAR, degree=DEGREE, k=K)
     return out.edges.select("src", "slot", "dst", "weight", "edge_type")
 
 
 @query
 def compact_stats(s, d):
-    st = lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR).stats
+    st = lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR, k=K).stats
     return s.createDataFrame([(st["old_count"], st["new_count"], st["tombstones_dropped"], st["records_merged"])], "old_count long, new_count long, tombstones_dropped long, records_merged long")
 
 

@@ -315,6 +315,38 @@ def test_compaction_merges_and_renumbers(spark):
     assert lifecycle.compact(e, threshold=0.999, merge=False).stats["records_merged"] == 0
 
 
+def test_compaction_links_groups_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    a, b = np.eye(8)[0], np.eye(8)[0] * 0.9 + np.eye(8)[1] * np.sqrt(1 - 0.81)
+    vectors = [a] * 15 + [b] * 15 + [v / np.linalg.norm(v) for v in a + 0.02 * rng.standard_normal((40, 8))] + [np.eye(8)[5]] * 2
+    rows = [(i, i // 71, i % 71, NOW, float(rng.random()), FLAG_DELETED if i % 20 == 19 else 0, v.tolist(), None) for i, v in enumerate(vectors)]
+    e = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    live_rows = [r for r in rows if not r[5]]
+    score = lambda x, y: float(np.dot(x[6], y[6]))
+    want = {(x[0], y[0]) for x in live_rows for y in live_rows if x[0] < y[0] and x[1] == y[1] and score(x, y) >= 0.85}
+    parent = {r[0]: r[0] for r in live_rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, y in sorted(want):
+        parent[max(find(x), find(y))] = min(find(x), find(y))
+    labels = lambda pairs: {r.id: r.label for r in least_labels(pairs).collect()}
+    linked = {i: find(i) for p in want for i in p}
+    pairs = lifecycle.near_duplicate_pairs(e, 0.85)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got <= want and labels(pairs) == linked
+    copies = [{i for i in range(*g) if not rows[i][5]} for g in ((0, 15), (15, 30))]
+    assert want - got <= {(x, y) for g in copies for x in g for y in range(72) if (x, y) in want} | {(y, x) for g in copies for x in g for y in range(72)}
+    assert {p for p in want if min(p) >= 30} <= got
+    few = lifecycle.similar_pairs(e.where(log.live()), 0.85, spanning=True)
+    assert few.count() < len(got) and labels(few) == linked
+    assert lifecycle.compact(e, threshold=0.85).stats["records_merged"] == len(linked) - len(set(linked.values()))
+    assert labels(lifecycle.near_duplicate_pairs(e, 0.85, k=10)) != linked
+
+
 def test_eviction_keeps_errors_pins_and_useful_rows(spark):
     rows, _ = experience(spark, 20)
     rows = [(*r[:3], NOW, i / 100, *r[5:]) for i, r in enumerate(rows)]
