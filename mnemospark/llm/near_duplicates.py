@@ -4,14 +4,13 @@ A document's set holds its distinct word shingles; documents are linked when 100
 80 |A or B|.  Instead of the hashes of every table being drawn anew, COLLECTIONS small collections of
 ROWS minhashes each are drawn, and a table's key combines the keys of two collections: 20 collections of
 3 give 190 tables of 6 rows from 60 minhashes instead of 1140.  A pair of similarity 0.8 agrees in a
-collection with probability 0.512, and is missed only if it agrees in fewer than two: 1.2 in 100,000.
+collection with probability 0.512, and is missed only if it agrees in fewer than two: 1.3 in 100,000.
 
 1. Documents with equal sets are one node (its least id), so copies cost one row each.
 2. Only collections in which a node agrees with another node count: a node with fewer than two of them is
    in no shared table.  The others make their table keys from pairs of those collections.
 3. In each bucket of a table every node is paired with the bucket's least node.  Pairs are filtered by size
-   (a bound on the similarity) and by their 60 minhashes (34 equal ones or more), and confirmed on the full
-   sets.  Confirmed links give components; buckets whose nodes are then in one component are settled.
+   (a bound on the similarity) and confirmed on the full sets.  Confirmed links give components; buckets whose nodes are then in one component are settled.
 4. In unsettled buckets of up to SMALL nodes, all nodes outside the bucket's largest component are paired
    with all nodes of other components, and confirmed as above.
 5. The nodes of larger unsettled buckets are grouped by the key of the bucket's first collection, the groups
@@ -43,8 +42,6 @@ from .components import connected_components
 from .tokens import Words, mix64
 
 COLLECTIONS, ROWS = 20, 3
-#: Least number of equal minhashes, of 60, of a pair that goes on to the full sets: at similarity 0.8 about 1 pair in a million has fewer.
-AGREE = 34
 #: Nodes of an unsettled bucket up to which its pairs are made in a join.
 SMALL = 16
 #: Nodes, and bytes of their sets, of one chunk of a large group.
@@ -100,10 +97,9 @@ def _sketch_rows(size: int):
             # a digest of the set: two order-free sums of independently mixed members
             parts = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(c))))) for c in (0x1D8E4E27C47D124F, 0x9FB21C651E98DF25)]
             d1, d2 = ((p[bounds[1:]] - p[bounds[:-1]]).view(np.int64) for p in parts)
-            signature = (mins >> np.uint64(32)).astype("<u4")
             yield pa.record_batch(
-                [part.column("rid"), part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COLLECTIONS), pa.array(keys.ravel())), pa.array([s.tobytes() for s in signature], pa.binary())],
-                names=["rid", "doc_id", "n", "d1", "d2", "keys", "signature"],
+                [part.column("rid"), part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COLLECTIONS), pa.array(keys.ravel()))],
+                names=["rid", "doc_id", "n", "d1", "d2", "keys"],
             )
 
     return run
@@ -118,13 +114,6 @@ def _set_rows(size: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose minhashes agree often enough."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, COLLECTIONS * ROWS) for c in ("sig_a", "sig_b"))
-        yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
-
-
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,16 +182,14 @@ def _compared(percent: int):
 class _Finder:
     """The tables that candidate pairs are confirmed against, and the components found so far."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
-        self.nodes, self.sets, self.percent = nodes, sets, percent
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
         self.labels: DataFrame | None = None  # (node, label) of linked nodes
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b), a stored table."""
-        side = lambda t, value, c: t.select(F.col("node").alias(c), F.col(value).alias(f"{'sig' if value == 'signature' else 'set'}_{c}"))
-        near = pairs.join(side(self.nodes, "signature", "a"), "a").join(side(self.nodes, "signature", "b"), "b")
-        likely = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"), "likely")
-        full = likely.join(side(self.sets, "members", "a"), "a").join(side(self.sets, "members", "b"), "b")
+        side = lambda c: self.sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
+        full = pairs.join(side("a"), "a").join(side("b"), "b")
         return stored(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(self.percent), "a long, b long"), "links", batch_rows=500)
 
     def add(self, pairs: DataFrame) -> None:
@@ -247,14 +234,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     unique = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     base = base.withColumn("rid", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
-    sketches = stored(base.mapInArrow(_sketch_rows(size), "rid long, doc_id long, n long, d1 long, d2 long, keys array<long>, signature binary"), "sketches")
+    sketches = stored(base.mapInArrow(_sketch_rows(size), "rid long, doc_id long, n long, d1 long, d2 long, keys array<long>"), "sketches")
     real = sketches.where("doc_id is not null and n > 0")
     # what is joined back to the rows it was counted from is stored first: then the join is between two
     # plain exchanges, and Spark splits its hot keys
     classes = stored(real.groupBy("n", "d1", "d2").agg(F.min("rid").alias("node")), "classes")
     members = stored(real.select("rid", "doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("rid", "doc_id", "node"), "members")
     heads = members.where("rid = node").select("node").distinct()
-    nodes = stored(sketches.where("doc_id is not null").dropDuplicates(["rid"]).join(heads, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "n", "keys", "signature"), "nodes")
+    nodes = stored(sketches.where("doc_id is not null").dropDuplicates(["rid"]).join(heads, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "n", "keys"), "nodes")
 
     # collections in which a node agrees with another node
     flat = nodes.select("node", F.posexplode("keys").alias("c", "key"))
@@ -264,7 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     texts = base.where("doc_id is not null").select(F.col("rid").alias("node"), "text")
     sets = stored((texts if unique else texts.dropDuplicates(["node"])).join(alive.select("node"), "node", "left_semi").mapInArrow(_set_rows(size), "node long, members binary"), "sets")
 
-    finder = _Finder(nodes, sets, percent)
+    finder = _Finder(sets, percent)
     two = alive.select("node", "n", "own", F.posexplode("own").alias("i", "x")).select("node", "n", "x", F.explode(F.slice("own", F.col("i") + 2, COLLECTIONS)).alias("y"))
     rows = two.select(F.xxhash64("x.c", "x.key", "y.c", "y.key").alias("bucket"), "node", "n", F.col("x.c").alias("c"), F.col("x.key").alias("key"))
     many = stored(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre"), F.min_by("n", "node").alias("centre_n")).where("size > 1"), "many")

@@ -78,6 +78,15 @@ def test_large_unsettled_buckets_are_compared_in_chunks(spark, monkeypatch, node
     assert key(run(spark, rows, 4)) == key(brute(rows, 4))
 
 
+def test_pairs_that_share_a_table_are_confirmed_however_few_minhashes_agree(spark):
+    w = [f"r243165w{j}" for j in range(10)]
+    rows = [(1, " ".join(w[:9])), (2, " ".join(w[:8] + w[9:]))]  # similarity 0.8
+    mins = nd.minhashes(*nd.shingle_sets([t for _, t in rows], 1))
+    keys = nd.collection_keys(mins)
+    assert (mins[0] == mins[1]).sum() == 33 and (keys[0] == keys[1]).sum() == 3
+    assert key(run(spark, rows, 1)) == key(brute(rows, 1)) == [(False, 1, 9, 1, True), (False, 2, 9, 1, False)]
+
+
 def test_no_rows(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
