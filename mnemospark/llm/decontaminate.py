@@ -17,12 +17,12 @@ count once; rows that share a doc_id are judged row by row.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +49,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Positional postings of every token of every text: one row per shard of at most about 1 MB of text.
 
     terms: the distinct 64-bit token hashes, ascending; counts: how many postings each has; positions:
-    the postings, list after list, each list ascending and delta-coded; first: where each document begins.
+    the postings, list after list, each list ascending and delta-coded; first: where each document begins;
+    shard: partition and position, so that equal shards are told apart.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.string()), ("n_docs", pa.int64())] + [(c, pa.binary()) for c in ("docs", "first", "terms", "counts", "positions")])
-        for part in text_chunks(batches):
+        task = TaskContext.get()
+        for number, part in enumerate(text_chunks(batches)):
             w = Words(part.column("text").to_pylist(), alnum=True, lower=True)
             h = w.hash()
             order = np.argsort(h, kind="stable")
@@ -66,7 +68,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ids.write_batch(pa.record_batch([part.column("doc_id").cast(pa.int64())], names=["d"]))
             ids.close()
             first = w.first.astype(np.int64)
-            name = hashlib.blake2b(first.tobytes() + sink.getvalue().to_pybytes() + ordered.tobytes(), digest_size=16).hexdigest()
+            name = f"{task.partitionId()}-{number}"
             row = [[name], [len(part)], [sink.getvalue().to_pybytes()], [_pack(first)], [_pack(ordered[begin])], [_pack(np.diff(begin, append=len(h)).astype(np.int32))], [_pack(delta)]]
             yield pa.record_batch([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 

@@ -66,6 +66,18 @@ def test_equals_brute_force(spark, block_chars):
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(d if d is not None else -1 for d, _ in docs if d is None or d not in bad)
 
 
+@pytest.mark.parametrize("block_chars", [1_000_000, 10])
+def test_equal_shards_are_told_apart(spark, block_chars):
+    long = "x " * 600_000  # a shard of its own
+    docs = [(1, long + "one two three four five")] * 3 + [(2, long + "one two three four five six"), (2, "six " + long + "one two three four five")]
+    items = [(1, "one two three four five"), (2, "two three four five six"), (3, "nowhere to be found at all")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    index = dc.stored(dc.build_index(df), "postings")
+    rows = dc.search(index, spark.createDataFrame(items, "item_id long, text string"), 5, block_chars=block_chars).collect()
+    got = sorted((r.doc_id, r.n_words, len({p for a, b in zip(r.starts, r.ends, strict=True) for p in range(a, b)}), list(r["items"])) for r in rows)
+    assert got == [(1, 600_005, 5, ["1"])] * 3 + [(2, 600_006, 5, ["1"]), (2, 600_006, 6, ["1", "2"])]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b x c"), (2, "c b a"), (3, "a x x x x b c"), (4, "b c"), (5, "a a b c")], "doc_id long, text string")
     index = dc.stored(dc.build_index(docs), "postings")
