@@ -41,7 +41,7 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos"), ("negros", "blancos"), ("inmigrantes", "refugiados"),
 )
 BEGINNINGS = (4, 5, 6)
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 12_000
 MAX_FEATURES = 50_000
 THRESHOLD = 0.3
 
@@ -145,7 +145,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: list[tuple[np
         return none
     doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
     names, df = np.unique(flat, return_counts=True)
-    seen, count = np.unique(flat[y[doc] > 0], return_counts=True)
+    seen, count = np.unique(flat[np.repeat(y > 0, sizes)], return_counts=True)
     hits = np.zeros(len(names))
     hits[np.searchsorted(names, seen)] = count
     a, b = hits + 0.5, df - hits + 0.5
@@ -163,8 +163,10 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: list[tuple[np
         known = names[at] == x
         return known, at[known]
 
-    use, col = columns(flat)
-    row = doc[use]
+    step = 1 << 20  # bounds the intermediate arrays
+    found = [(doc[lo : lo + step][use], col) for lo in range(0, len(flat), step) for use, col in [columns(flat[lo : lo + step])]]
+    row, col = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     swaps = [(columns(g)[1], columns(c)[1]) for g, c in pairs]
     swap_col = np.concatenate([np.zeros(0, np.int64), *(x for p in swaps for x in p)]).astype(np.int64)
     swap_row = np.repeat(np.arange(len(swaps)), [len(g) + len(c) for g, c in swaps]) if swaps else np.zeros(0, np.int64)

@@ -91,3 +91,12 @@ def test_weights_follow_the_labels():
     m = tx.fit(flat, np.full(80, 2), np.array([1.0] * 20 + [0.0] * 60), [])
     w = dict(zip(m.features.tolist(), m.weights.tolist(), strict=True))
     assert w[2] > 0 > w[3] and abs(w.get(1, 0)) < w[2]
+
+
+def test_learns_from_up_to_12_000_rows(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(tx, "fit", lambda flat, n, *rest: sizes.append(len(n)))
+    docs = spark.range(12_500).selectExpr("id AS doc_id", "concat('word', id) AS text", "cast(id % 5 = 0 AS int) AS toxic")
+    tx.train(docs, docs.where("doc_id < 10000"))
+    tx.train(docs, docs)
+    assert sizes == [10_000, 12_000]
