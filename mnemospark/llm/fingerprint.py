@@ -56,7 +56,7 @@ def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     last |= h % np.uint64(CUT) == 0
     end = np.flatnonzero(last) + 1
     begin = np.concatenate(([0], end[:-1]))
-    digest = w.window_hash(w.window_sums(), begin, end - begin)
+    digest = w.run_hash(begin, end - begin)
     doc = w.doc[begin]
     order = np.lexsort((digest, doc))
     doc, digest = doc[order], digest[order]

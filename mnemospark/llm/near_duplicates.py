@@ -60,7 +60,10 @@ def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.nda
     count = np.where(w.n > 0, w.n - length + 1, 0)
     doc = np.repeat(np.arange(len(texts)), count)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + w.first[:-1][doc]
-    h = w.window_hash(w.window_sums(), at, length[doc]) if len(at) else np.zeros(0, np.uint64)
+    h = np.empty(len(at), np.uint64)
+    whole = length[doc] == size
+    h[whole] = w.window_hash(at[whole], size)
+    h[~whole] = w.run_hash(at[~whole], length[doc[~whole]])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)

@@ -60,7 +60,7 @@ def _anchor_rows(window: int):
             w = Words(part.column("text").to_pylist())
             pos = np.arange(len(w.start)) - w.first[w.doc]
             at = np.flatnonzero(member[pos % v] & (pos + size <= w.n[w.doc]) & (w.n[w.doc] >= window))
-            h = w.window_hash(w.window_sums(), at, size)
+            h = w.window_hash(at, size)
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]]
             tie = part.column("tie").to_numpy(zero_copy_only=False)[w.doc[at]]
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(pos[at].astype(np.int32))], names=["h", "doc_id", "tie", "pos"])
@@ -120,7 +120,7 @@ def _window_rows(window: int, extend: bool):
         for part in text_chunks(batches):
             w = Words(part.column("text").to_pylist())
             at = _Marks(w, part, window, extend).open_windows()
-            h1, h2 = (w.window_hash(w.window_sums(s), at, window, s) for s in (0, 1))
+            h1, h2 = (w.window_hash(at, window, s) for s in (0, 1))
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]]
             tie = part.column("tie").to_numpy(zero_copy_only=False)[w.doc[at]]
             pos = (at - w.first[w.doc[at]]).astype(np.int32)

@@ -55,13 +55,9 @@ class Model:
 
 def _word_features(w: Words) -> list[np.ndarray]:
     """Feature hashes by kind, one per word: the word, and its beginnings (0 where the word is no longer)."""
-    first = Words.__new__(Words)
-    first.buf, first._hash = w.buf, {}
     out = [w.hash()]
     for n in BEGINNINGS:
-        first.start, first.end = w.start, np.minimum(w.start + n, w.end)
-        first._hash = {}
-        h = first.hash() ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
+        h = w.part_hash(w.start, np.minimum(w.start + n, w.end)) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
         out.append(np.where(w.end - w.start >= n, h, np.uint64(0)))
     return out
 
