@@ -7,13 +7,15 @@ sentence of a labelled text that mentions a group, the group terms are swapped f
 and the squared change of the sentence's score is penalised.  A mention of a group thus can't move a
 score, however the labels of the sample are spread over groups.
 
-The fit takes a bounded sample of labelled rows (sample_rows, the least by a hash of the id); executors
-send hashed features, not texts.  Scoring is a map over all whole texts with a broadcast of the features
-whose weight isn't zero, at most max_features of them.
+The fit takes a bounded sample of labelled rows (sample_rows, the least by a hash of the id).  Features are
+counted and chosen on executors by grouped aggregation, and one task fits the model to what the sampled
+rows have of them; the driver only passes on the chosen features and the model.  Scoring is a map over all
+whole texts with a broadcast of the features whose weight isn't zero; the sample bounds their number.
 
 Defined results: a null or empty text has the score of no features; labels that contradict each other
 count as toxic; null labels are left out; without both labels in the sample every score is the smoothed
-share of toxic labels; repeated rows and ids are scored row by row.
+share of toxic labels; repeated rows and ids are scored row by row; equal rows teach once, rows of one id
+with different texts each by their own.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import stored, text_chunks
 from .tokens import Words
 
 # Terms for groups, by language and form; a swap takes the next term of the same row.
@@ -42,7 +44,6 @@ IDENTITY_TERMS = (
 )
 BEGINNINGS = (4, 5, 6)
 SAMPLE_ROWS = 12_000
-MAX_FEATURES = 50_000
 THRESHOLD = 0.3
 
 
@@ -89,93 +90,132 @@ def counterfactuals(text: str | None, pattern: re.Pattern, turn: dict[str, str])
     return [(s, swapped(s, pattern, turn)) for s in re.split(r"(?<=[.!?])\s+|\n+", text) if pattern.search(s)]
 
 
-def _sample_rows(terms):
+def sample(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, toxic, text) of at most sample_rows labelled rows, a stored table: the least ones by a
+    hash of the id.  Rows of one id with different texts are told apart by tie; equal rows count once."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    if keep is not None:
+        known = known.where(keep)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(*order).limit(sample_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(known), "doc_id").withColumn("tie", F.xxhash64("text"))  # sample_rows ids at most
+    rows = stored(rows.dropDuplicates(["doc_id", "tie"]), "labelled")
+    chosen = rows.select("doc_id", "tie").orderBy(*order, "tie").limit(sample_rows)
+    return rows.join(F.broadcast(chosen), ["doc_id", "tie"]).select("doc_id", "tie", F.col("toxic").cast("int").alias("toxic"), "text")
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in text_chunks(batches):
+        doc, feature = _distinct(Words(part.column("text").to_pylist(), alnum=True, lower=True))
+        toxic = part.column("toxic").to_numpy(zero_copy_only=False) > 0
+        names, at = np.unique(feature, return_inverse=True)
+        df = np.bincount(at, minlength=len(names))
+        hits = np.bincount(at, weights=toxic[doc], minlength=len(names)).astype(np.int64)
+        yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(df), pa.array(hits)], names=["feature", "df", "hits"])
+
+
+def telling_features(rows: DataFrame, n: int, positive: int) -> np.ndarray:
+    """The features, ascending, that at least three sampled rows hold and whose log odds differ from 0 by
+    two standard errors or more.  Counted and chosen on executors; the sample bounds how many there are."""
+    counts = rows.select("toxic", "text").mapInArrow(_count_rows, "feature long, df long, hits long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
+    a, b = F.col("hits") + 0.5, F.col("df") - F.col("hits") + 0.5
+    z = F.abs(F.log(a / (positive + 1.0)) - F.log(b / (n - positive + 1.0))) / F.sqrt(1 / a + 1 / b)
+    found = counts.where((F.col("df") >= 3) & (z >= 2.0)).select("feature").toArrow().column("feature").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _columns(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are among the ascending names, and their numbers."""
+    if not len(names):
+        return np.zeros(len(x), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    known = names[at] == x
+    return known, at[known]
+
+
+def _example_rows(sent, terms):
+    """Of each row, the numbers of its telling features; of each swapped sentence, those that go and come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sent.value
         pattern, turn = _swaps(terms)
         for part in text_chunks(batches):
             texts = part.column("text").to_pylist()
             doc, feature = _distinct(Words(texts, alnum=True, lower=True))
-            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            pairs = [counterfactuals(t, pattern, turn) for t in texts]
+            known, col = _columns(names, feature)
+            cut = np.searchsorted(doc[known], np.arange(len(texts) + 1))
             gone, come = [], []
-            for mine in pairs:  # features that a swap takes away, and those that it brings
+            for mine in (counterfactuals(t, pattern, turn) for t in texts):
                 d, f = _distinct(Words([x for p in mine for x in p], alnum=True, lower=True))
-                before, after = [f[d == 2 * i] for i in range(len(mine))], [f[d == 2 * i + 1] for i in range(len(mine))]
-                gone.append([np.setdiff1d(a, b).tobytes() for a, b in zip(before, after, strict=True)])
-                come.append([np.setdiff1d(b, a).tobytes() for a, b in zip(before, after, strict=True)])
-            blobs = [feature[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([part.column("toxic"), pa.array(blobs, pa.binary()), pa.array(gone, pa.list_(pa.binary())), pa.array(come, pa.list_(pa.binary()))], names=["toxic", "features", "gone", "come"])
+                known, c = _columns(names, f)
+                d = d[known]
+                before, after = [c[d == 2 * i] for i in range(len(mine))], [c[d == 2 * i + 1] for i in range(len(mine))]
+                gone.append([np.setdiff1d(x, y).tolist() for x, y in zip(before, after, strict=True)])
+                come.append([np.setdiff1d(y, x).tolist() for x, y in zip(before, after, strict=True)])
+            cols = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(col.astype(np.int32)))
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.record_batch([part.column("doc_id"), part.column("tie"), part.column("toxic"), cols, pa.array(gone, lists), pa.array(come, lists)], names=["doc_id", "tie", "toxic", "cols", "gone", "come"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, terms=IDENTITY_TERMS, cf_weight: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def _fit_rows(sent, cf_weight: float):
+    """One task that takes all examples, whose number the sample bounds, and returns the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sent.value
+        examples = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("tie", "ascending")]).combine_chunks()
+        cols = examples.column("cols").combine_chunks()
+        sizes = np.diff(cols.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        y = (examples.column("toxic").to_numpy() > 0).astype(float)
+        swaps = [(np.array(g, np.int64), np.array(c, np.int64)) for gs, cs in zip(examples.column("gone").to_pylist(), examples.column("come").to_pylist(), strict=True) for g, c in zip(gs, cs, strict=True)]
+        weights, bias = fit(len(names), row, cols.flatten().to_numpy().astype(np.int64), y, swaps, cf_weight)
+        used = np.abs(weights) > 1e-3
+        yield pa.record_batch([pa.array([names[used].tobytes()], pa.binary()), pa.array([weights[used].tobytes()], pa.binary()), pa.array([bias])], names=["features", "weights", "bias"])
+
+    return run
+
+
+def prior_of(n: int, positive: int) -> float:
+    """Log odds of the smoothed share of toxic rows."""
+    prior = (positive + 0.5) / (n + 1) if n else 0.05
+    return float(np.log(prior / (1 - prior)))
+
+
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample_rows: int = SAMPLE_ROWS, terms=IDENTITY_TERMS, cf_weight: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit the model to at most sample_rows labelled rows; keep: a condition on doc_id for rows to learn from."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    if keep is not None:
-        known = known.where(keep)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_sample_rows(terms), "toxic int, features binary, gone array<binary>, come array<binary>")
-    got = sent.limit(2 * sample_rows).toArrow()  # rows that share an id can't make the sample grow without bound
-    y = (got.column("toxic").to_numpy() > 0).astype(float)
-    pairs = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for g, c in zip(got.column("gone").to_pylist(), got.column("come").to_pylist(), strict=True) for a, b in zip(g, c, strict=True)]
-    blobs = got.column("features").to_pylist()
-    del got
-    sizes = np.array([len(x) // 8 for x in blobs], np.int64)
-    flat = np.frombuffer(b"".join(blobs), np.uint64)
-    del blobs
-    return fit(flat, sizes, y, pairs, max_features, cf_weight)
-
-
-def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], max_features: int = MAX_FEATURES, cf_weight: float = 10.0, ridge: float = 2e-4, lasso: float = 3e-4, steps: int = 400) -> Model:
-    """Logistic regression on feature presence with the three penalties, by proximal Adam steps.
-
-    flat: the features of all rows, row after row; sizes: how many each row has; y: 1 for toxic rows;
-    pairs: features that a swap of group terms takes away from a sentence, and those that it brings.
+    rows = sample(docs, labels, keep, sample_rows, id_col, text_col)
+    n, positive = rows.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    names = telling_features(rows, n, positive) if 0 < positive < n else np.zeros(0, np.uint64)
+    if not len(names):
+        return Model(names, np.zeros(0), prior_of(n, positive))
+    sent = docs.sparkSession.sparkContext.broadcast(names)
+    examples = rows.mapInArrow(_example_rows(sent, terms), "doc_id long, tie long, toxic int, cols array<int>, gone array<array<int>>, come array<array<int>>")
+    got = examples.repartition(1).mapInArrow(_fit_rows(sent, cf_weight), "features binary, weights binary, bias double").first()
+    return Model(np.frombuffer(got.features, np.uint64), np.frombuffer(got.weights), got.bias)
+
+
+def fit(width: int, row: np.ndarray, col: np.ndarray, y: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], cf_weight: float = 10.0, ridge: float = 2e-4, lasso: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on feature presence with the three penalties, by proximal Adam steps.
+
+    (row, col): which of the features 0..width a row has; y: 1 for toxic rows; swaps: features that a swap
+    of group terms takes away from a sentence, and those that it brings.
     """
-    n, positive = len(sizes), float(y.sum())
-    prior = (positive + 0.5) / (n + 1) if n else 0.05
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    if not 0 < positive < n:
-        return none
-    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    names, df = np.unique(flat, return_counts=True)
-    seen, count = np.unique(flat[np.repeat(y > 0, sizes)], return_counts=True)
-    hits = np.zeros(len(names))
-    hits[np.searchsorted(names, seen)] = count
-    a, b = hits + 0.5, df - hits + 0.5
-    odds = np.log(a / (positive + 1)) - np.log(b / (n - positive + 1))
-    z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
-    telling = np.flatnonzero((df >= 3) & (z >= 2.0))
-    telling = telling[np.argsort(-z[telling], kind="stable")[:max_features]]
-    if not len(telling):
-        return none
-    names = np.sort(names[telling])
-
-    def columns(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of x are telling features, and their numbers."""
-        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
-        known = names[at] == x
-        return known, at[known]
-
-    step = 1 << 20  # bounds the intermediate arrays
-    found = [(doc[lo : lo + step][use], col) for lo in range(0, len(flat), step) for use, col in [columns(flat[lo : lo + step])]]
-    row, col = (np.concatenate(x) for x in zip(*found, strict=True))
-    del found
-    swaps = [(columns(g)[1], columns(c)[1]) for g, c in pairs]
+    n = len(y)
     swap_col = np.concatenate([np.zeros(0, np.int64), *(x for p in swaps for x in p)]).astype(np.int64)
     swap_row = np.repeat(np.arange(len(swaps)), [len(g) + len(c) for g, c in swaps]) if swaps else np.zeros(0, np.int64)
     swap_sign = np.concatenate([np.zeros(0), *(np.r_[np.ones(len(g)), -np.ones(len(c))] for g, c in swaps)])
 
-    w, bias = np.zeros(len(names)), none.bias
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, bias = np.zeros(width), prior_of(n, int(y.sum()))
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weights=w[col], minlength=n), -30, 30)))
-        g = np.append(np.bincount(col, weights=(p - y)[row], minlength=len(w)) / n + ridge * w, (p - y).mean())
+        g = np.append(np.bincount(col, weights=(p - y)[row], minlength=width) / n + ridge * w, (p - y).mean())
         if len(swaps):
             change = np.bincount(swap_row, weights=swap_sign * w[swap_col], minlength=len(swaps))
-            g[:-1] += cf_weight * 2 * np.bincount(swap_col, weights=swap_sign * change[swap_row], minlength=len(w)) / len(swaps)
+            g[:-1] += cf_weight * 2 * np.bincount(swap_col, weights=swap_sign * change[swap_row], minlength=width) / len(swaps)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = 0.1 / (1 + 3 * t / steps)
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -183,8 +223,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: list[tuple[np
         w = w - step[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(lasso * scale, 0.02), 0)
         bias -= step[-1]
-    used = np.abs(w) > 1e-3
-    return Model(names[used], w[used], float(bias))
+    return w, float(bias)
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
