@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder of spark.checkpoint.dir, which the driver and all executors see. A session of one machine may name none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    return (folder or LOCAL_SHARED).rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -34,12 +37,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame, label: str, batch_rows: int = 2000) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts the lineage, and a lost
-    executor takes nothing with it.  The shuffle files of the write go as soon as it has ended.
-    batch_rows: rows of an Arrow batch, which bounds what a Python worker and its JVM hold of large rows."""
+def write_stored(df: DataFrame, path: str, batch_rows: int = 2000) -> None:
+    """Write df as Parquet.  The shuffle files of the write go as soon as it has ended.
+    batch_rows: rows of an Arrow batch, which bounds what a Python worker and its JVM hold of large rows.
+    The two settings are the session's while the write runs."""
     spark = df.sparkSession
-    path = new_folder(spark, label)
     settings = {_CLEAN: "true", _BATCH: str(batch_rows)}
     before = {k: spark.conf.get(k) for k in settings}
     try:
@@ -49,7 +51,22 @@ def stored(df: DataFrame, label: str, batch_rows: int = 2000) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str, batch_rows: int = 2000) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: this cuts the lineage, and a lost
+    executor takes nothing with it."""
+    path = new_folder(df.sparkSession, label)
+    write_stored(df, path, batch_rows)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes to differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def drop_stored(df: DataFrame) -> None:
