@@ -24,8 +24,8 @@ other links, and no step makes rows of all the pairs of a bucket.
 
 Defined results: words are what stands between white space, lower-cased in A-Z; a text of fewer words than
 a shingle has one shingle of all its words; a null text or one without words has an empty set and is linked
-with nothing; rows that share an id are separate; rows with a null id are linked with nothing, have a null
-component and are kept.
+with nothing; rows that share an id are separate; in near_duplicates rows with a null id are linked with
+nothing, have a null component and are kept; drop_near_duplicates judges every row by its text.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_chunks
+from .common import fresh_name, stored, text_chunks
 from .components import connected_components
 from .tokens import Words, mix64
 
@@ -232,26 +232,37 @@ def _pairs(df: DataFrame, x: str, nx: str, y: str, ny: str, percent: int) -> Dat
     return df.where((F.col(x) != F.col(y)) & fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the least doc_id reachable, its own included), kept."""
+def _keyed(docs: DataFrame, null_ids: bool, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(rid, doc_id, text) of the rows, and whether rid tells all rows apart: it is the id if no id repeats,
+    else a hash of id and text, so that rows that are equal in both share it.  null_ids: rows without an id get a rid too."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    unique = base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    base = base.withColumn("rid", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
+    unsure = (F.col("count") > 1) | F.col("doc_id").isNull()
+    unique = (base if null_ids else base.where("doc_id is not null")).groupBy("doc_id").count().where(unsure).isEmpty()
+    rid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
+    return base.withColumn("rid", rid if null_ids else F.when(F.col("doc_id").isNotNull(), rid)), unique
+
+
+def _components(base: DataFrame, unique: bool, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (rid, doc_id, text): (rid, doc_id, n, ...) of every row, and (rid, doc_id, label) of those with a rid and a set.
+
+    Rows are linked if their labels are equal.
+    """
     sketches = stored(base.mapInArrow(_sketch_rows(size), "rid long, doc_id long, n long, d1 long, d2 long, keys array<long>"), "sketches")
-    real = sketches.where("doc_id is not null and n > 0")
+    real = sketches.where("rid is not null and n > 0")
     # what is joined back to the rows it was counted from is stored first: then the join is between two
     # plain exchanges, and Spark splits its hot keys
     classes = stored(real.groupBy("n", "d1", "d2").agg(F.min("rid").alias("node")), "classes")
     members = stored(real.select("rid", "doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("rid", "doc_id", "node"), "members")
-    heads = members.where("rid = node").select("node").distinct()
-    nodes = stored(sketches.where("doc_id is not null").dropDuplicates(["rid"]).join(heads, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "n", "keys"), "nodes")
+    # rows of one rid are equal, so that a node has one sketch, however often its row stands in the table
+    heads = real if unique else real.dropDuplicates(["rid"])
+    nodes = stored(heads.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "n", "keys"), "nodes")
 
     # collections in which a node agrees with another node
     flat = nodes.select("node", F.posexplode("keys").alias("c", "key"))
     shared = stored(flat.groupBy("c", "key").agg(F.count("*").alias("agree")).where("agree > 1").select("c", "key"), "shared")
     alive = flat.join(shared, ["c", "key"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("own")).where(F.size("own") >= 2)
     alive = stored(alive.join(nodes.select("node", "n", "keys"), "node"), "alive")
-    texts = base.where("doc_id is not null").select(F.col("rid").alias("node"), "text")
+    texts = base.where("rid is not null").select(F.col("rid").alias("node"), "text")
     sets = stored((texts if unique else texts.dropDuplicates(["node"])).join(alive.select("node"), "node", "left_semi").mapInArrow(_set_rows(size), "node long, members binary"), "sets")
 
     finder = _Finder(sets, percent)
@@ -279,20 +290,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
         dealt = dealt.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other")
         finder.unite(stored(dealt.groupBy("c", "key", "lo", "hi").applyInArrow(_compared(percent), "a long, b long"), "compared"))
 
-    known = finder.labelled(members)
+    return sketches, finder.labelled(members).select("rid", "doc_id", "label")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the least doc_id reachable, its own included), kept."""
+    base, unique = _keyed(docs, False, id_col, text_col)
+    sketches, known = _components(base, unique, size, percent)
     least = stored(known.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    found = known.join(least, "label").select("rid", "doc_id", "component_id")
+    found = known.join(least, "label").select("rid", "component_id")
     found = found if unique else found.distinct()
-    out = sketches.select("rid", "doc_id", "n").join(found.drop("doc_id"), "rid", "left")
+    out = sketches.select("rid", "doc_id", "n").join(found, "rid", "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), kept.alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the least of their component, with all their columns (rows that repeat a kept id stay)."""
-    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi"))
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the least id.
+
+    Rows are judged by their own texts, whatever their ids: those without an id come after all others, and of
+    rows that share id and text one is kept.  Rows without words are linked with nothing and all kept.
+    """
+    base, unique = _keyed(docs, True, id_col, text_col)
+    _, known = _components(base, unique, size, percent)
+    key = fresh_name(docs, "rid")
+    known = known if unique else known.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("label").alias("label"), F.count("*").alias("rows"))
+    known = stored(known, "known")
+    first = stored(known.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))["rid"].alias("first")), "first")
+    gone = known.join(first, F.col("rid") == F.col("first"), "left_anti").select(F.col("rid").alias(key))
+    if unique:
+        return docs.withColumn(key, F.col(id_col).cast("long")).join(gone, key, "left_anti").select(*docs.columns)
+    again = known.where("rows > 1").join(first, F.col("rid") == F.col("first"), "left_semi").select(F.col("rid").alias(key))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text_col))
+    rest = keyed.join(stored(gone.unionByName(again), "settled"), key, "left_anti")
+    return rest.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

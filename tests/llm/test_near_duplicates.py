@@ -68,6 +68,24 @@ def test_repeated_and_null_ids(spark):
     assert key(run(spark, rows, 5)) == key(brute(rows, 5))
 
 
+@pytest.mark.parametrize("ids", ["unique", "repeated"])
+def test_one_row_of_each_group_stays_whatever_its_id(spark, ids):
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(families(rng, 5, 6, 60, 4), 10)]
+    if ids == "repeated":
+        rows += [(10, rows[0][1]), (10, rows[0][1]), (11, rows[-1][1]), (3, rows[7][1]), (3, "alone at id 3"), (None, rows[0][1]), (None, "alone without id"), (None, "alone without id")]
+    rows += [(200, None), (200, None), (201, ""), (201, " ")] if ids == "repeated" else [(200, None), (201, "")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, rid int").repartition(5)
+    kept = nd.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    # brute force with the rows' numbers as ids, in the order in which rows are kept
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    want = [(rows[order[k]][0], rows[order[k]][1]) for k, _, _, keep in brute([(k, rows[i][1]) for k, i in enumerate(order)], 5) if keep]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len({r.rid for r in kept.collect()}) == len(got)
+
+
 @pytest.mark.parametrize("nodes", [7, 1024])
 def test_large_unsettled_buckets_are_compared_in_chunks(spark, monkeypatch, nodes):
     """Families around the threshold, many of whose members are similar but not linked."""
