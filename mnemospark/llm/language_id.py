@@ -7,10 +7,13 @@ Evidence about a record's language, fused as a posterior over the languages of t
   EFFECTIVE independent trigrams;
 * declared markup language (html lang): a channel P(declared | language), estimated over all records by
   grouped aggregation of the posteriors from text alone, so a site generator that always says "en" weighs little;
-* address suffix: a channel P(country suffix | language) for suffixes that belong to a language;
-* host: a prior that is smoothed down a hierarchy, all records, suffix, registered domain, host; each level
-  adds its own soft counts (grouped sums of posteriors) to STRENGTH times the level above.  A record's own
-  contribution is taken out of its host's counts, so it isn't counted twice.
+* address suffix and host: a prior that is smoothed down a hierarchy, all records, suffix, registered domain,
+  host; each level adds its own soft counts (grouped sums of posteriors) to STRENGTH times the level above.
+  What is known of country suffixes tilts the level above the suffix, so that the records of a suffix outweigh
+  it.  A record's own contribution is taken out of its host's counts, so it isn't counted twice.
+
+A text is scored once: its likelihood is stored, and all counts and posteriors are taken from that table.
+Markup is scanned in linear time, whatever is left unclosed in it.
 
 Counts and priors cover all records.  They are sums grouped by host and then by coarser keys, so a hot host
 is a partial aggregate per task; the prior table, a row per host, is joined back as a stored table, whose
@@ -40,7 +43,7 @@ SAMPLE_ROWS = 6_000
 BUCKETS = 1 << 16
 EFFECTIVE = 40.0
 STRENGTH = 5.0
-#: Weight of a country suffix for its language against the others.
+#: Weight of a country suffix for its language against the others, before any record of the suffix is counted.
 SUFFIX_ODDS = 4.0
 
 # The country suffixes of languages.
@@ -50,9 +53,12 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _FOLD = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint8)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|noscript|template)\b[^>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
+_HIDING = ("script", "style", "nav", "noscript", "template")
+_OPEN = re.compile(r"<!--|<(" + "|".join(_HIDING) + r")\b", re.IGNORECASE)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _HIDING}
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+_HTML = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -62,22 +68,51 @@ class TextModel:
 
 
 def visible_text(html: str | None) -> str:
-    """What a reader sees of a page, roughly: no scripts, styles, navigation, comments or tags."""
-    return _TAG.sub(" ", _HIDDEN.sub(" ", html or ""))
+    """What a reader sees of a page, roughly: no scripts, styles, navigation, comments or tags.
+
+    One pass: what has no end is looked for once and then left alone, and only tags that end are cut.
+    """
+    html = html or ""
+    shown, done, at, endless = [], 0, 0, set()
+    while m := _OPEN.search(html, at):
+        name, at, end = (m[1] or "").lower(), m.end(), -1
+        if name in endless:
+            continue
+        if not name:
+            end = html.find("-->", at)
+            end += 3 * (end >= 0)
+        elif (tag := html.find(">", at)) < 0:
+            break  # no tag ends from here on
+        elif close := _CLOSE[name].search(html, tag + 1):
+            end = close.end()
+        if end < 0:
+            endless.add(name)
+            continue
+        shown.append(html[done : m.start()])
+        done = at = end
+    text = " ".join([*shown, html[done:]])
+    last = text.rfind(">") + 1
+    return _TAG.sub(" ", text[:last]) + text[last:]
 
 
 def declared_language(html: str | None) -> str | None:
-    m = _LANG.search(html) if html else None
-    return m[1].lower() if m else None
+    html, at = html or "", 0
+    while m := _HTML.search(html, at):
+        at = html.find(">", m.end())
+        at = len(html) if at < 0 else at
+        if found := _LANG.search(html, m.end(), at):
+            return found[1].lower()
+    return None
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every byte trigram of letters, with one space for any run of others."""
+    """(text number, bucket) of every byte trigram around a letter, with one space for any run of others and
+    at either end of a text, so that a text has the same trigrams wherever it stands."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buf = _FOLD[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
-    doc = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
+    buf = _FOLD[np.frombuffer(b"".join(b" " + r + b" " for r in raw), np.uint8)]
+    doc = np.repeat(np.arange(len(raw)), [len(r) + 2 for r in raw])
     keep = np.ones(len(buf), bool)
-    keep[1:] = (buf[1:] != 0x20) | (buf[:-1] != 0x20)
+    keep[1:] = (buf[1:] != 0x20) | (buf[:-1] != 0x20) | (doc[1:] != doc[:-1])
     buf, doc = buf[keep].astype(np.uint32), doc[keep]
     h = buf[:-2] * np.uint32(0x9E3779B1) + buf[1:-1] * np.uint32(0x85EBCA77) + buf[2:] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)
@@ -154,12 +189,12 @@ def _from_logs(logs: list[Column]) -> list[Column]:
     return [F.exp(x - top) for x in logs]
 
 
-def fuse(found: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(id, host, declared, lang, confidence and posterior) of the evidence rows, a stored table."""
+def fuse(found: DataFrame, languages: tuple[str, ...], markup: bool = True) -> DataFrame:
+    """(id, host, declared, lang, confidence and posterior) of the evidence rows; markup: some may declare a language."""
     L = range(len(languages))
     if not languages:
         return found.select("id", "host", "declared", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.array().cast("array<double>").alias("posterior"))
-    spark = found.sparkSession
+    found = stored(found, "evidence")  # the texts are scored once
     suffix = F.when(F.col("host").contains("."), F.regexp_extract("host", r"([^.:]+)(?::[0-9]*)?$", 1)).otherwise(F.lit(""))
     domain = F.when(F.col("host").contains("."), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).otherwise(F.col("host"))
     texts = found.withColumn("suffix", suffix).withColumn("domain", domain)
@@ -167,24 +202,19 @@ def fuse(found: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         texts = texts.withColumn(f"t{k}", p)
 
     # P(declared | language): a row per declared language, at most one more than there are languages
-    said = {r.declared: r for r in texts.where("declared is not null").groupBy("declared").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in L)).collect()}
+    said = {r.declared: r for r in texts.where("declared is not null").groupBy("declared").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in L)).collect()} if markup else {}
     values = [*languages, "other"]
     totals = [sum(r[f"t{k}"] for r in said.values()) + len(values) * 0.5 for k in L]
     channel = {d: [((said[d][f"t{k}"] if d in said else 0.0) + (1.0 if d == languages[k] else 0.5)) / (totals[k] + 0.5) for k in L] for d in values}
 
     def declared(k: int) -> Column:
         out = F.lit(1.0)
-        for d in values:
+        for d in said:
             out = F.when(F.col("declared") == d, F.lit(channel[d][k])).otherwise(out)
         return out
 
-    def of_suffix(k: int) -> Column:
-        own = SUFFIXES.get(languages[k], ())
-        return F.when(F.col("suffix").isin(*own), F.lit(SUFFIX_ODDS)).otherwise(F.lit(1.0)) if own else F.lit(1.0)
-
-    local = _normalised([F.col(f"t{k}") * declared(k) * of_suffix(k) + 1e-9 for k in L])
+    local = _normalised([F.col(f"t{k}") * declared(k) + 1e-9 for k in L])
     scored = texts.select("id", "host", "domain", "suffix", "declared", *(local[k].alias(f"p{k}") for k in L), *(F.col("like")[k].alias(f"l{k}") for k in L))
-    scored = stored(scored, "evidence")
 
     # soft counts by host, summed up the hierarchy; each level is smoothed towards the one above
     sums = lambda: [F.sum(f"p{k}").alias(f"p{k}") for k in L]
@@ -199,7 +229,8 @@ def fuse(found: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         n = reduce(lambda a, b: a + b, [F.col(f"p{k}") for k in L])
         return level.select(*[c for c in level.columns if not re.fullmatch(r"[pq]\d+", c)], *(((F.col(f"p{k}") + STRENGTH * prior[k]) / (n + STRENGTH)).alias(f"q{k}") for k in L))
 
-    of_suffixes = smoothed(suffixes, [F.lit(a) for a in above])
+    tilted = [F.lit(above[k]) * F.when(F.col("suffix").isin(*own), SUFFIX_ODDS).otherwise(1.0) if (own := SUFFIXES.get(languages[k])) else F.lit(above[k]) for k in L]
+    of_suffixes = smoothed(suffixes, _normalised(tilted))
     of_domains = smoothed(domains.join(of_suffixes, "suffix"), [F.col(f"q{k}") for k in L])
     priors = stored(hosts.select("suffix", "domain", "host", *(F.col(f"p{k}").alias(f"h{k}") for k in L)).join(of_domains, ["suffix", "domain"]), "priors")
 
@@ -207,7 +238,7 @@ def fuse(found: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     rows = scored.join(priors.drop("suffix", "domain"), "host")
     others = [F.greatest(F.col(f"h{k}") - F.col(f"p{k}"), F.lit(0.0)) for k in L]
     n = reduce(lambda a, b: a + b, others)
-    weights = _from_logs([F.col(f"l{k}") + F.log(declared(k)) + F.log(of_suffix(k)) + F.log((others[k] + STRENGTH * F.col(f"q{k}")) / (n + STRENGTH)) for k in L])
+    weights = _from_logs([F.col(f"l{k}") + F.log(declared(k)) + F.log((others[k] + STRENGTH * F.col(f"q{k}")) / (n + STRENGTH)) for k in L])
     rows = rows.select("id", "host", "declared", F.array(*_normalised(weights)).alias("posterior"))
     best = F.array_max("posterior")
     return rows.select("id", "host", "declared", F.element_at(F.array(*map(F.lit, languages)), F.array_position("posterior", best).cast("int")).alias("lang"), best.alias("confidence"), "posterior")
@@ -221,7 +252,7 @@ def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id",
 def identify_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Documents have no markup or address; their source takes the place of the host."""
     records = docs.select(F.col(id_col).cast("long").alias("id"), F.concat(F.lit("source "), F.coalesce(F.col(source_col), F.lit(""))).alias("host"), F.col(text_col).alias("text"))
-    return fuse(evidence(records, model, False), model.languages)
+    return fuse(evidence(records, model, False), model.languages, False)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
