@@ -47,25 +47,39 @@ def _op3() -> str:
     out = f"""
 WITH raw AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {url}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {url}, 2) AS path FROM pages),
 u AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM raw),
-l0 AS (SELECT host, path, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, string_split(path, '/') AS parts, '' AS t, '' AS parent FROM u GROUP BY host, path)"""
+l0 AS (SELECT host, path, count(*) AS pages, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, string_split(path, '/') AS parts, '' AS t0 FROM u GROUP BY host, path)"""
     for i in range(1, 5):
+        t = f"t{i - 1}"
         seg = f"parts[{i + 1}]" if i < 4 else "array_to_string(parts[5:], '/')"
-        s = f"CASE WHEN len(parts) > {i} THEN regexp_replace({seg}, '[0-9]+', '0', 'g') END"
         out += f""",
-s{i} AS (SELECT *, {s} AS s FROM l{i - 1}),
-w{i} AS (SELECT host, t FROM s{i} WHERE s IS NOT NULL GROUP BY host, t HAVING count(DISTINCT s) > 16),
-l{i} AS (SELECT host, path, labelled, bad, parts, CASE WHEN s IS NULL THEN t WHEN (host, t) IN (SELECT (host, t) FROM w{i}) THEN t || '/*' ELSE t || '/' || s END AS t, CASE WHEN s IS NULL THEN parent ELSE t END AS parent FROM s{i})"""
+s{i} AS (SELECT *, CASE WHEN len(parts) > {i} THEN {seg} END AS s FROM l{i - 1}),
+c{i} AS (SELECT host, {t}, s, sum(pages) AS c, sum(sum(pages)) OVER (PARTITION BY host, {t}) AS n FROM s{i} WHERE s IS NOT NULL GROUP BY host, {t}, s),
+m{i} AS (SELECT *, c::DOUBLE / n - 1.96::DOUBLE * sqrt((c::DOUBLE / n) * (1 - c::DOUBLE / n) / n) > 0.05::DOUBLE AS literal FROM c{i}),
+v{i} AS (SELECT host, {t} FROM m{i} WHERE NOT literal GROUP BY host, {t} HAVING (sum(c * (c - 1)) + 2)::DOUBLE / (sum(c) * (sum(c) - 1) + 2)::DOUBLE < 0.1::DOUBLE),
+w{i} AS (SELECT host, {t}, s FROM m{i} SEMI JOIN v{i} USING (host, {t}) WHERE NOT literal),
+l{i} AS (SELECT s{i}.* EXCLUDE (s), {t} || '/' || CASE WHEN w{i}.s IS NOT NULL THEN '*' ELSE s{i}.s END AS t{i} FROM s{i} LEFT JOIN w{i} USING (host, {t}, s))"""
+    nodes = " UNION ALL ".join(f"SELECT host, {i} AS depth, {f't{i - 1}' if i else 'NULL'} AS parent, t{i} AS template, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad FROM l4 WHERE t{i} IS NOT NULL GROUP BY ALL" for i in range(5))
+    weight = "(4.0::DOUBLE + 0.25::DOUBLE * (p - l))"
+    levels = f"p0 AS (SELECT host, template, (b + {weight} * 0.5::DOUBLE) / (l + {weight}) AS purity FROM own WHERE depth = 0)"
+    for i in range(1, 5):
+        levels += f",\np{i} AS (SELECT own.host, own.template, (b + {weight} * purity) / (l + {weight}) AS purity FROM own JOIN p{i - 1} ON p{i - 1}.host = own.host AND p{i - 1}.template = own.parent WHERE depth = {i})"
+    purity = " UNION ALL ".join(f"SELECT host, template, {i} AS depth, purity FROM p{i}" for i in range(5))
     return (
         out
-        + """,
-leaf AS (SELECT host, parent, t, sum(labelled) AS labelled, sum(bad) AS bad FROM l4 GROUP BY ALL),
-p AS (SELECT *, labelled >= 4 AS enough, (bad + 2.0::DOUBLE) / (labelled + 4.0::DOUBLE) AS p FROM leaf),
-v AS (SELECT *, p * (1 - p) / (labelled + 4.0::DOUBLE) AS v FROM p),
-f AS (SELECT *, CASE WHEN enough AND abs(p - lag(p) OVER w) <= 1.96::DOUBLE * sqrt(v + lag(v) OVER w) THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY host, parent, enough ORDER BY p, t)),
-b AS (SELECT *, sum(fresh) OVER (PARTITION BY host, parent, enough ORDER BY p, t ROWS UNBOUNDED PRECEDING) AS branch FROM f),
-q AS (SELECT host, t, (sum(bad) OVER m + 2.0::DOUBLE) / (sum(labelled) OVER m + 4.0::DOUBLE) AS purity FROM b WINDOW m AS (PARTITION BY host, parent, enough, branch))
-SELECT page_id, u.host, u.path, rule, coalesce(ruled, CASE WHEN purity >= 0.75 THEN 'block' ELSE 'allow' END) AS verdict, l4.t AS template
-FROM u LEFT JOIN l4 ON l4.host = u.host AND l4.path = u.path LEFT JOIN q ON q.host = l4.host AND q.t = l4.t
+        + f""",
+node AS ({nodes}),
+step AS (SELECT k.host, k.parent, k.depth, substr(k.template, length(k.parent) + 2) AS step, k.pages::DOUBLE / n.pages AS share FROM node k JOIN node n ON n.host = k.host AND n.template = k.parent AND n.depth = k.depth - 1),
+shape AS (SELECT host, parent, depth - 1 AS depth, string_agg(x, ',' ORDER BY x) AS shape FROM (SELECT *, step || ':' || CAST(round(4 * share) AS INT) AS x FROM step WHERE share >= 0.125) GROUP BY ALL),
+shaped AS (SELECT node.*, coalesce(shape, '') AS shape FROM node LEFT JOIN shape ON shape.host = node.host AND shape.parent = node.template AND shape.depth = node.depth),
+pool AS (SELECT host, parent, depth, shape, (sum(bad) + 1)::DOUBLE / (sum(labelled) + 2)::DOUBLE AS usual FROM shaped WHERE depth > 0 GROUP BY ALL),
+placed AS (SELECT shaped.*, usual IS NULL OR labelled > 0 AND abs(bad::DOUBLE / labelled - usual) > 1.96::DOUBLE * sqrt(usual * (1 - usual) / labelled) AS apart FROM shaped LEFT JOIN pool USING (host, parent, depth, shape)),
+own AS (SELECT host, template, parent, depth, pages::DOUBLE AS p, labelled::DOUBLE AS l, bad::DOUBLE AS b FROM placed WHERE apart
+  UNION ALL SELECT host, template, parent, depth, sum(pages) OVER m, sum(labelled) OVER m, sum(bad) OVER m FROM placed WHERE NOT apart WINDOW m AS (PARTITION BY host, parent, depth, shape)),
+{levels},
+purity AS ({purity}),
+leaf AS (SELECT host, path, coalesce(t4, t3, t2, t1, t0) AS template, CASE WHEN t4 IS NOT NULL THEN 4 WHEN t3 IS NOT NULL THEN 3 WHEN t2 IS NOT NULL THEN 2 WHEN t1 IS NOT NULL THEN 1 ELSE 0 END AS depth FROM l4)
+SELECT page_id, u.host, u.path, rule, coalesce(ruled, CASE WHEN purity >= 0.75::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, leaf.template
+FROM u LEFT JOIN leaf ON leaf.host = u.host AND leaf.path = u.path LEFT JOIN purity ON purity.host = leaf.host AND purity.template = leaf.template AND purity.depth = leaf.depth
 """
     )
 
