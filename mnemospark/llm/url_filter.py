@@ -97,11 +97,13 @@ def path_templates(paths: DataFrame) -> DataFrame:
         above = f"t{i - 1}"
         rest = F.array_join(F.slice("parts", i + 1, F.greatest(F.size("parts") - i, F.lit(0))), "/") if i == DEPTH else F.get("parts", F.lit(i))
         tree = tree.withColumn("s", F.when(F.size("parts") > i, rest))
-        child = stored(tree.where(F.col("s").isNotNull()).groupBy("host", above, "s").agg(F.sum("pages").alias("c")), "url-children")
-        node = child.groupBy("host", above).agg(F.sum("c").alias("n"))
+        under = tree.where(F.col("s").isNotNull())
+        node = stored(under.groupBy("host", above).agg(F.sum("pages").alias("n")), "url-nodes")
+        child = under.groupBy("host", above, "s").agg(F.sum("pages").alias("c"))
         share = F.col("c") / F.col("n")
         literal = share - Z * F.sqrt(share * (1 - share) / F.col("n")) > LITERAL
-        marked = child.join(node, ["host", above]).withColumn("literal", literal)
+        # stored, so that what is summed up by node next is summed up within tasks first, also that of a hot node
+        marked = stored(child.join(node, ["host", above]).withColumn("literal", literal), "url-children")
         rest = marked.where("not literal").groupBy("host", above).agg(F.sum("c").alias("r"), F.sum(F.col("c") * (F.col("c") - 1)).alias("q"))
         variable = stored(rest.where((F.col("q") + 2) / (F.col("r") * (F.col("r") - 1) + 2) < AGREE).select("host", above, F.lit(True).alias("variable")), "url-variable")
         # both are small then, and of known size, so that they can be broadcast and the paths aren't dealt by host
@@ -152,7 +154,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     """(page_id, host, path, rule, verdict, template) of every row."""
     urls = parsed(pages, rules, id_col, url_col)
     counts = [F.count("*").alias("pages"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("bad")]
-    tree = stored(path_templates(urls.groupBy("host", "path").agg(*counts)), "url-tree")
+    paths = stored(urls.groupBy("host", "path").agg(*counts), "url-paths")
+    tree = stored(path_templates(paths), "url-tree")
     purity = template_purity(node_counts(tree))
     ends = tree.withColumn("depth", sum(F.col(f"t{i}").isNotNull().cast("int") for i in range(1, DEPTH + 1)))
     known = ends.join(purity, ["host", "template", "depth"]).select("host", "path", "template", (F.col("purity") >= threshold).alias("reject"))
