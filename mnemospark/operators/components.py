@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors see. A session of one machine may name none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    return (folder or "file:///tmp/checkpoints").rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table written in the folder of spark.checkpoint.dir and read back, which cuts its lineage.
 
     Unlike checkpoint(), this leaves the constraints behind that the optimiser has inferred for df; carried
     from round to round of an iteration, they make planning take longer than the work.  The files go when
-    the driver's JVM ends.  A folder of its own is used only where the setting is absent, as in tests."""
+    the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)

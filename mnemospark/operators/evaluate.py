@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +25,38 @@ def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("query_id", F.when(size == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.coalesce("t", none), F.coalesce("f", none))) / size).alias("recall"))
 
 
+#: Jobs that queries are dealt into when their time is taken.
+LATENCY_BATCHES = 20
+
+
+def latencies(ask: Callable[[DataFrame], DataFrame], queries: DataFrame, batches: int = LATENCY_BATCHES) -> dict[str, float]:
+    """mean_ms, p50_ms, p95_ms and p99_ms per query of ask(queries), which is run for one batch after the other."""
+    samples = []
+    for b in range(batches):
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)
+        n = mine.count()
+        if n:
+            began = time.perf_counter()
+            ask(mine).count()
+            samples.append((time.perf_counter() - began) * 1000 / n)
+    at = np.percentile(samples, [50, 95, 99]).tolist() if samples else [0.0] * 3
+    return {"mean_ms": float(np.mean(samples)) if samples else 0.0, "p50_ms": at[0], "p95_ms": at[1], "p99_ms": at[2]}
+
+
 def sweep_nprobe(corpus: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobes: list[int], timed: bool = False) -> DataFrame:
-    """(nprobe, mean_recall, and mean_ms if timed) in ascending order of nprobe.
+    """(nprobe, mean_recall, and mean_ms, p50_ms, p95_ms, p99_ms if timed) in ascending order of nprobe.
 
-    mean_ms is the wall time of the job per query: Spark answers a batch, there is no latency of one query."""
+    Spark answers a batch, there is no latency of one query: the queries are asked in LATENCY_BATCHES jobs, a
+    job's time per query is a sample, and mean and percentiles (linear interpolation) are those of the samples."""
     truth = exact_topk(corpus, queries, k).select("query_id", "id").cache()
-    n = max(queries.count(), 1)
     out = None
     for p in sorted(set(nprobes)):
         found = ivf_topk(corpus, assigned, centroids, queries, k, p)
         part = recall_at_k(found, truth).agg(F.avg("recall").alias("mean_recall")).select(F.lit(p).alias("nprobe"), "mean_recall")
         if timed:
-            began = time.perf_counter()
-            found.count()
-            part = part.withColumn("mean_ms", F.lit((time.perf_counter() - began) * 1000 / n))
+            ms = latencies(lambda q, p=p: ivf_topk(corpus, assigned, centroids, q, k, p), queries)
+            for name, value in ms.items():
+                part = part.withColumn(name, F.lit(value))
         out = part if out is None else out.unionByName(part)
     return out.orderBy("nprobe")
 

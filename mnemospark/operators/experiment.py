@@ -83,6 +83,7 @@ def _maintained(spark: SparkSession, memory: DataFrame, asked: DataFrame, k: int
     for i in range(0, len(episodes), s.cadence):
         part = memory.where(F.col("episode_id").isin(episodes[i : i + s.cadence])).select("episode_id", "timestamp_ns", "pred_err", "z", "action")
         m.observe(part, ["timestamp_ns"])
+        m.train_if_needed()
         worker.step(now_ns)
     return m, checkpointed(m.recall(asked, k))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.experience import by_episode
+from .components import checkpointed
 from .search import exact_topk, rank
 
 TEMPORAL, ANALOGOUS = 0, 1
@@ -62,6 +63,12 @@ def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def has_edge(edges: DataFrame, src: int, dst: int, edge_type: int | None = None) -> bool:
+    """Is there an edge from src to dst, of any type or of the given one?"""
+    found = edges.where((F.col("src") == src) & (F.col("dst") == dst))
+    return not (found if edge_type is None else found.where(F.col("edge_type") == edge_type)).isEmpty()
+
+
 def neighbours_of(edges: DataFrame, src: int, edge_type: int | None = None) -> DataFrame:
     found = edges.where(F.col("src") == src)
     return (found if edge_type is None else found.where(F.col("edge_type") == edge_type)).orderBy("slot")
@@ -80,7 +87,7 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int, max_nodes: int, edge_
     seen = seeds.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     place = Window.partitionBy("query_id").orderBy("rank")
     seen = seen.select("query_id", "id", F.lit(True).alias("is_seed"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("edge_type"), F.lit(None).cast("double").alias("weight"), F.row_number().over(place).alias("place"))
-    frontier = seen
+    seen = frontier = checkpointed(seen) if depth else seen
     for d in range(1, depth + 1):
         met = frontier.select("query_id", "place", F.col("id").alias("src")).join(out_edges, "src")
         new = met.withColumnRenamed("dst", "id").join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -89,6 +96,7 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int, max_nodes: int, edge_
         sizes = seen.groupBy("query_id").agg(F.max("place").alias("before"))
         new = new.join(sizes, "query_id").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("query_id").orderBy("place", "turn")))
         frontier = new.select("query_id", "id", F.lit(False).alias("is_seed"), F.lit(d).alias("depth"), F.col("t").alias("edge_type"), F.col("w").alias("weight"), "place")
+        frontier = checkpointed(frontier)  # it is read three times by the next level
         seen = seen.unionByName(frontier)
     # a capped search is the uncapped one cut at its place, for the seeds are never cut
     return seen.where(F.col("is_seed") | (F.col("place") <= max_nodes))

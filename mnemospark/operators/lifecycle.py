@@ -199,8 +199,7 @@ def compaction_map(log: DataFrame, threshold: float = 0.98, merge: bool = True,
 def apply_map(log: DataFrame, id_map: DataFrame) -> DataFrame:
     """The surviving rows under their new ids: time and errors kept, seq_no packed, pins carried over."""
     pins = log.join(id_map.withColumnRenamed("old_id", "id"), "id").where("new_id is not null").groupBy("new_id").agg(F.bit_or(F.col("flags").bitwiseAND(FLAG_PINNED)).cast("int").alias("pin"))
-    own = id_map.where("new_id is not null").groupBy("new_id").agg(F.collect_list("old_id").alias("olds"))
-    rows = log.where(live()).join(id_map.withColumnRenamed("old_id", "id"), "id").join(own.select("new_id"), "new_id").join(pins, "new_id")
+    rows = log.where(live()).join(id_map.withColumnRenamed("old_id", "id"), "id").join(pins, "new_id")
     best = Window.partitionBy("new_id").orderBy(F.col("pred_err").desc(), "id")
     rows = rows.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     seq = (F.row_number().over(Window.partitionBy("episode_id").orderBy("new_id")) - 1).cast("long")

@@ -15,8 +15,8 @@ def rerank(candidates: DataFrame, log: DataFrame, queries: DataFrame, w_sim: flo
     """(query_id, id, score, rank): a weighted mean of similarity, action similarity and recency (the id).
 
     Each signal is scaled to 0..1 within the query's candidates (0.5 if constant).  Without an action on the
-    query or on any candidate the action's weight goes to the others; with weights that sum to 0 all are
-    equal; a lone candidate keeps its raw score.  candidates: (query_id, id, score); queries: (query_id, action).
+    query or on any candidate the action's weight goes to the others; if the weights of the signals that are
+    left sum to 0, these signals weigh equally; a lone candidate keeps its raw score.  candidates: (query_id, id, score); queries: (query_id, action).
     """
     acts = log.select("id", F.col("action").alias("a"))
     rows = candidates.join(acts, "id").join(queries.select("query_id", F.col("action").alias("qa")), "query_id")
@@ -27,7 +27,9 @@ def rerank(candidates: DataFrame, log: DataFrame, queries: DataFrame, w_sim: flo
     rows = rows.withColumn("s1", span(F.col("score"))).withColumn("s2", span(F.coalesce("act", F.lit(0.0)))).withColumn("s3", span(F.col("id")))
     wa = F.when(F.col("whole"), F.lit(float(w_action))).otherwise(F.lit(0.0))
     total = F.lit(float(w_sim)) + wa + F.lit(float(w_recency))
-    blended = F.when(total == 0, F.lit(0.0)).otherwise((w_sim * F.col("s1") + wa * F.col("s2") + w_recency * F.col("s3")) / F.when(total == 0, F.lit(1.0)).otherwise(total))
+    equal = (F.col("s1") + F.when(F.col("whole"), F.col("s2")).otherwise(F.lit(0.0)) + F.col("s3")) / F.when(F.col("whole"), F.lit(3.0)).otherwise(F.lit(2.0))
+    weighted = (w_sim * F.col("s1") + wa * F.col("s2") + w_recency * F.col("s3")) / F.when(total == 0, F.lit(1.0)).otherwise(total)
+    blended = F.when(total == 0, equal).otherwise(weighted)
     scored = rows.select("query_id", "id", F.when(F.col("n") == 1, F.col("score")).otherwise(blended).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(by))

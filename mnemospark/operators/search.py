@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +86,29 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "z",
     upto: a query sees the rows with ids up to its own only, those that were there when it came."""
     if k <= 0:
         raise ValueError(f"k must be positive, not {k}")
-    spark = corpus.sparkSession
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(query_vector or vector).alias("v"))
     rows = corpus.select(F.col("id").cast("long").alias("id"), F.col(vector).alias("v"))
-    blocks = max(1, -(-q.count() // BLOCK))
     found = None
-    for b in range(blocks):
-        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        t = mine.toArrow().combine_chunks()
-        vectors = t.column("v").combine_chunks() if len(t) else pa.array([], pa.list_(pa.float64()))
-        m = as_matrix(vectors)
-        sent = spark.sparkContext.broadcast((t.column("query_id").to_numpy(), _unit(m) if len(m) else m))
+    for t in _query_blocks(q):
+        sent = corpus.sparkSession.sparkContext.broadcast((t.column("query_id").to_numpy(), _query_matrix(t)))
         part = rows.mapInArrow(_scorer(sent, k, upto), "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
     return rank(found, k, "query_id")
 
 
+def _query_blocks(q: DataFrame) -> Iterator[pa.Table]:
+    """The queries (query_id, v, ...) in blocks of about BLOCK rows."""
+    blocks = max(1, -(-q.count() // BLOCK))
+    for b in range(blocks):
+        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        yield mine.toArrow().combine_chunks()
+
+
+def _query_matrix(t: pa.Table) -> np.ndarray:
+    m = as_matrix(t.column("v").combine_chunks() if len(t) else pa.array([], pa.list_(pa.float64())))
+    return _unit(m) if len(m) else m
+
+
 # inverted file
 
 
@@ -160,18 +168,56 @@ def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, vector: s
     return _lists(queries, centroids, "query_id", max(1, nprobe), vector)
 
 
+def _list_scorer(sent, k: int):
+    """As _scorer, but rows of a list are multiplied with the queries that probe the list only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q, askers = sent.value
+        best_s, best_i = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        for b in batches:
+            if not len(b) or not len(q):
+                continue
+            lists = b.column("list_id").to_numpy()
+            order = np.argsort(lists, kind="stable")
+            ids, m, cuts = b.column("id").to_numpy()[order], _unit(as_matrix(b.column("v")))[order], np.flatnonzero(np.diff(lists[order])) + 1
+            if m.shape[1] != q.shape[1]:
+                raise ValueError(f"vectors have {m.shape[1]} elements, queries {q.shape[1]}")
+            for lo, hi in zip((0, *cuts), (*cuts, len(ids)), strict=True):
+                who = askers.get(int(lists[order[lo]]), np.zeros(0, np.int64))
+                for step in range(0, len(who), STEP):  # bounds the score matrix to STEP rows
+                    mine = who[step : step + STEP]
+                    best_s[mine], best_i[mine] = merge_top(best_s[mine], best_i[mine], q[mine] @ m[lo:hi].T, ids[lo:hi], k)
+        row, at = np.nonzero(best_s > -np.inf)
+        yield pa.record_batch([pa.array(query_ids[row]), pa.array(best_i[row, at]), pa.array(best_s[row, at])], names=["query_id", "id", "score"])
+
+    return run
+
+
 def ivf_topk(corpus: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int | None = 1, vector: str = "z") -> DataFrame:
     """Top k of each query among the rows of its nprobe nearest lists; it may find fewer than k and miss better
     rows elsewhere.  With nprobe None it finds what an exact search finds.
 
-    An equi-join on list_id: rows and probes of a list meet, a hot list is split by Spark's skew handling."""
+    Blocks of queries with the lists that they probe are broadcast; each Arrow batch of the corpus is multiplied
+    list by list with the queries that probe the list, and a task keeps k rows per query.  So rows aren't dealt
+    by list, and a hot list is read by as many tasks as its rows are."""
     if k <= 0:
         raise ValueError(f"k must be positive, not {k}")
-    members = corpus.select("id", vec.normalize(F.col(vector)).alias("v")).join(assigned.select("id", "list_id"), "id")
-    asked = queries.select("query_id", vec.normalize(F.col(vector)).alias("q"))
+    members = corpus.select(F.col("id").cast("long").alias("id"), F.col(vector).alias("v")).join(assigned.select("id", F.col("list_id").cast("int").alias("list_id")), "id")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("v"))
 
     def searched(lists: DataFrame) -> DataFrame:
-        return asked.join(lists, "query_id").join(members, "list_id").select("query_id", "id", vec.dot(F.col("q"), F.col("v")).alias("score"))
+        found = None
+        for t in _query_blocks(asked.join(lists.groupBy("query_id").agg(F.collect_list("list_id").alias("lists")), "query_id")):
+            probes = t.column("lists").combine_chunks() if len(t) else pa.array([], pa.list_(pa.int32()))
+            row = np.repeat(np.arange(len(t)), pc.list_value_length(probes).to_numpy(zero_copy_only=False).astype(np.int64))
+            which = probes.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(which, kind="stable")
+            names, first = np.unique(which[order], return_index=True)
+            askers = dict(zip(names.tolist(), np.split(row[order], first[1:]), strict=True)) if len(names) else {}
+            sent = corpus.sparkSession.sparkContext.broadcast((t.column("query_id").to_numpy(), _query_matrix(t), askers))
+            part = members.mapInArrow(_list_scorer(sent, k), "query_id long, id long, score double")
+            found = part if found is None else found.unionByName(part)
+        return found
 
     if nprobe is not None:
         return rank(searched(probe_lists(queries, centroids, nprobe, vector).select("query_id", "list_id")), k, "query_id")

@@ -58,9 +58,9 @@ PIECES = {
     # lifecycle
     "fb": "SELECT id, query_id % 3 <> 0 AS helped, 1799000000000000000 + query_id * 1000000000 AS now_ns, query_id AS ord FROM ranked WHERE rank <= 3 AND query_id % 50 <> 0",
     "util": "SELECT id, count(*)::DOUBLE AS utility, arg_max(now_ns, ord) AS last_useful_ns FROM fb WHERE helped GROUP BY id",
-    "marked": "SELECT id, episode_id, seq_no, timestamp_ns, pred_err, CASE WHEN id % 13 = 0 THEN 1 WHEN id % 17 = 0 THEN 2 ELSE 0 END AS flags FROM e",
-    "near": "SELECT query_id, id, score FROM (SELECT a.id AS query_id, b.id AS id, list_inner_product(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) AS rank FROM u a, u b WHERE a.id % 13 <> 0) WHERE rank <= 10",
-    "dups": "SELECT least(query_id, n.id) AS a, greatest(query_id, n.id) AS b, max(score) AS score FROM near n JOIN marked x ON x.id = n.query_id JOIN marked y ON y.id = n.id WHERE n.id <> query_id AND y.flags <> 1 AND x.episode_id = y.episode_id AND score >= 0.3 GROUP BY ALL",
+    "marked": "SELECT id, episode_id, seq_no, timestamp_ns, pred_err, CASE WHEN id % 13 = 0 THEN 1 WHEN id % 17 = 0 THEN 2 ELSE 0 END AS flags, z, action FROM e",
+    "lively": "SELECT u.id, u.episode_id, v FROM u JOIN marked ON marked.id = u.id WHERE flags <> 1",
+    "dups": "SELECT x.id AS a, y.id AS b, list_inner_product(x.v, y.v) AS score FROM lively x JOIN lively y ON x.id < y.id AND x.episode_id = y.episode_id WHERE list_inner_product(x.v, y.v) >= 0.3",
     "reach": "SELECT id, id AS other FROM (SELECT a AS id FROM dups UNION SELECT b FROM dups) UNION SELECT reach.id, CASE WHEN a = other THEN b ELSE a END FROM reach JOIN dups ON a = other OR b = other",
     "labels": "SELECT id, min(other) AS label FROM reach GROUP BY id",
     "reps": "SELECT label, id AS representative FROM (SELECT label, labels.id, row_number() OVER (PARTITION BY label ORDER BY pred_err DESC, labels.id) AS n FROM labels JOIN marked ON marked.id = labels.id) WHERE n = 1",
@@ -106,12 +106,14 @@ def sql(text: str, **own: str) -> str:
 
 
 _FOUND = "SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM {} WHERE rank <= {}"
-_ENDS = "round({0}[1], 6) AS first, round({0}[-1], 6) AS last, round(sqrt(list_inner_product({0}, {0})), 6) AS norm"
+_MIX = "round(list_sum([{0}[i] * i FOR i IN range(1, len({0}) + 1)]), 4)"
+_ENDS = f"round({{0}}[1], 6) AS first, round({{0}}[-1], 6) AS last, round(sqrt(list_inner_product({{0}}, {{0}})), 6) AS norm, {_MIX} AS mix"
+_VECTORS = f"{_MIX.format('z')} AS z, {_MIX.format('action')} AS action"
 _ROWS = "id, episode_id, seq_no, timestamp_ns, round(pred_err, 6) AS pred_err, flags"
 _SEEDS = "SELECT query_id, id, rank AS place FROM ranked WHERE rank <= {}"
 _EXPANDED = "SELECT query_id, id, is_seed, depth, edge_type, round(weight, 6) AS weight, place::INTEGER AS place FROM {} WHERE is_seed OR place <= 12"
 _CAND = "SELECT query_id, id, score FROM ranked WHERE rank <= 25 UNION ALL SELECT query_id, id, weight * pow(0.5, depth) FROM {} WHERE NOT is_seed AND place <= 40"
-_COMPACTED = "SELECT new_id AS id, episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY new_id) - 1 AS seq_no, timestamp_ns, round(pred_err, 6) AS pred_err, flags FROM ({})"
+_COMPACTED = "SELECT new_id AS id, episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY new_id) - 1 AS seq_no, timestamp_ns, round(pred_err, 6) AS pred_err, flags, " + _VECTORS + " FROM ({})"
 _GATED = sql("SELECT key, ord, round(ema_mean, 6) AS ema_mean, round(ema_std, 6) AS ema_std, count, retrieve, retrieve_causal FROM gate")
 
 ORACLES: dict[str, str] = {
@@ -128,9 +130,9 @@ ORACLES: dict[str, str] = {
     "action_key_topk": sql(_FOUND.format("kranked", 10)),
     "ivf_assign": sql("SELECT id, list_id, round(distance, 6) AS distance FROM assigned"),
     "ivf_probe": sql("SELECT id AS query_id, list_id, round(distance, 6) AS distance, probe::INTEGER AS probe FROM dists WHERE id % 20 = 0 AND probe <= 3"),
-    "ivf_probe_topk": sql("SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits WHERE probe <= 3) WHERE rank <= 10"),
+    "ivf_probe_topk": sql(_FOUND.format("ranked", 10)),
     "ivf_bucket_sizes": sql("SELECT list_id, size FROM sizes"),
-    "ivf_health": sql("SELECT round(i, 6) AS imbalance, round(d, 6) AS drift, i >= 3 OR d >= 2 AS needs_retrain FROM (SELECT (SELECT max(size) / avg(size) FROM sizes) AS i, (SELECT avg(distance) FROM (FROM assigned ORDER BY id DESC LIMIT 100)) / (SELECT avg(distance) FROM assigned WHERE id < 200) AS d)"),
+    "ivf_health": sql("SELECT round(i, 6) AS imbalance, round(d, 6) AS drift, i >= 3 OR d >= 2 AS needs_retrain FROM (SELECT (SELECT max(size) / avg(size) FROM sizes) AS i, (SELECT avg(distance) FROM (FROM assigned ORDER BY id DESC LIMIT 1000)) / (SELECT avg(distance) FROM assigned) AS d)"),
     "kmeans_one_lloyd_step": sql("SELECT cents.list_id, " + _ENDS.format("coalesce(m, c)").replace("coalesce(m, c)[", "(coalesce(m, c))[") + " FROM cents LEFT JOIN (SELECT list_id, list(x ORDER BY d) AS m FROM (SELECT list_id, d, avg(x) AS x FROM (SELECT list_id, unnest(v) AS x, unnest(range(64)) AS d FROM u JOIN assigned USING (id)) GROUP BY ALL) GROUP BY list_id) y ON y.list_id = cents.list_id"),
     "recall_at_k_by_nprobe": sql("SELECT nprobe, round(avg(n / 10), 6) AS mean_recall FROM (SELECT nprobe, q.query_id, count(f.id) AS n FROM q CROSS JOIN (SELECT unnest([1, 2, 5, 10])::INTEGER AS nprobe) LEFT JOIN (SELECT * FROM ranked WHERE rank <= 10) r ON r.query_id = q.query_id LEFT JOIN (SELECT nprobe AS np, query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY score DESC, id) AS rank FROM hits, (SELECT unnest([1, 2, 5, 10]) AS nprobe) WHERE probe <= nprobe) WHERE rank <= 10) f ON f.np = nprobe AND f.query_id = q.query_id AND f.id = r.id GROUP BY ALL) GROUP BY nprobe"),
     "temporal_edges": sql("SELECT src, dst, weight, edge_type FROM temporal"),
@@ -140,10 +142,11 @@ ORACLES: dict[str, str] = {
     "expand_d1": sql(_EXPANDED.format("g1"), seeds=_SEEDS.format(3)),
     "expand_d2": sql(_EXPANDED.format("g2"), seeds=_SEEDS.format(3)),
     "scorer_rerank": sql(_FOUND.format("scored", 20), cand="SELECT query_id, id, score FROM ranked WHERE rank <= 20"),
+    "scorer_equal_weights": sql("SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT query_id, id, CASE WHEN n = 1 THEN score ELSE (s1 + s2 + s3) / 3.0::DOUBLE END AS score FROM spans)", cand="SELECT query_id, id, score FROM ranked WHERE rank <= 20"),
     "recall_scored": sql(_FOUND.format("scored", 10), cand="SELECT query_id, id, score FROM kranked WHERE rank <= 50"),
     "recall_expanded_d1": sql(_FOUND.format("scored", 5), seeds=_SEEDS.format(25), cand=_CAND.format("g1")),
     "recall_expanded_d2": sql(_FOUND.format("scored", 5), seeds=_SEEDS.format(25), cand=_CAND.format("g2")),
-    "build_context": sql("SELECT query_id, pos::INTEGER AS pos, mask, round(mem_score, 6) AS mem_score, CASE WHEN mask THEN round(z[1], 6) ELSE 0 END AS z0, CASE WHEN mask THEN round(action[1], 6) ELSE 0 END AS a0, CASE WHEN mask THEN round(z_next[1], 6) ELSE 0 END AS o0 FROM ctx"),
+    "build_context": sql("SELECT query_id, pos::INTEGER AS pos, mask, round(mem_score, 6) AS mem_score, " + ", ".join(f"CASE WHEN mask THEN {_MIX.format(v)} ELSE 0 END AS {n}" for v, n in (("z", "z"), ("action", "action"), ("z_next", "outcome"))) + " FROM ctx"),
     "score_weighted_mean": sql("SELECT query_id, " + _ENDS.format("memory") + " FROM qm"),
     "fusion_alpha_0": sql("SELECT query_id, " + _ENDS.format("z") + " FROM qm"),
     "fusion_alpha_05": sql("SELECT query_id, " + _ENDS.format("p") + " FROM (SELECT query_id, CASE WHEN memory IS NULL THEN z ELSE [x / sqrt(list_inner_product(y, y)) FOR x IN y] END AS p FROM (SELECT *, [z[i] * 0.5::DOUBLE + memory[i] * 0.5::DOUBLE FOR i IN range(1, 65)] AS y FROM qm))"),
@@ -160,18 +163,18 @@ ORACLES: dict[str, str] = {
     "near_dup_pairs": sql("SELECT a, b, round(score, 6) AS score FROM dups"),
     "dup_components": sql("SELECT id, labels.label, representative FROM labels JOIN reps ON reps.label = labels.label"),
     "compact_idmap": sql("SELECT old_id, new_id FROM idmap"),
-    "compact_rows": sql(_COMPACTED.format("SELECT m.*, t.new_id, t.pin AS flags2 FROM (SELECT new_id, max(CASE WHEN flags = 2 THEN 2 ELSE 0 END) AS pin, arg_max(id, {'e': pred_err, 'i': -id}) AS keeper FROM idmap JOIN marked ON id = old_id WHERE new_id IS NOT NULL GROUP BY new_id) t JOIN marked m ON m.id = keeper").replace("round(pred_err, 6) AS pred_err, flags FROM", "round(pred_err, 6) AS pred_err, flags2 AS flags FROM")),
+    "compact_rows": sql(_COMPACTED.format("SELECT m.*, t.new_id, t.pin AS flags2 FROM (SELECT new_id, max(CASE WHEN flags = 2 THEN 2 ELSE 0 END) AS pin, arg_max(id, {'e': pred_err, 'i': -id}) AS keeper FROM idmap JOIN marked ON id = old_id WHERE new_id IS NOT NULL GROUP BY new_id) t JOIN marked m ON m.id = keeper").replace("round(pred_err, 6) AS pred_err, flags,", "round(pred_err, 6) AS pred_err, flags2 AS flags,")),
     "compact_edges": sql("SELECT src, slot::INTEGER AS slot, dst, 1.0::DOUBLE AS weight, 0 AS edge_type FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY was) - 1 AS slot FROM (SELECT a.new_id AS src, b.new_id AS dst, min(t.src) AS was FROM temporal t JOIN idmap a ON a.old_id = t.src JOIN idmap b ON b.old_id = t.dst WHERE a.new_id <> b.new_id GROUP BY a.new_id, b.new_id)) WHERE slot < 4"),
     "compact_stats": sql("SELECT count(*) AS old_count, count(DISTINCT new_id) AS new_count, count(*) - count(new_id) AS tombstones_dropped, count(new_id) - count(DISTINCT new_id) AS records_merged FROM idmap"),
     "tier_migrate": sql("SELECT id, tier FROM tiers"),
     "tier_promote": sql("SELECT tier, count(*) AS n, min(id) AS first_id FROM (SELECT id, CASE WHEN id = 1 THEN 'hot' ELSE tier END AS tier FROM tiers) GROUP BY tier"),
-    "tiered_topk": sql("SELECT query_id, id, round(score, 6) AS score, tier, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier DESC, id) AS rank FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY score DESC, id) AS own FROM (SELECT query_id, hits.id, score, tier FROM hits JOIN tiers ON tiers.id = hits.id WHERE tier = 'hot' OR probe <= 3)) WHERE own <= 10)) WHERE rank <= 10"),
+    "tiered_topk": sql("SELECT query_id, id, round(score, 6) AS score, tier, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier DESC, id) AS rank FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY score DESC, id) AS own FROM (SELECT query_id, hits.id, score, tier FROM hits JOIN tiers ON tiers.id = hits.id)) WHERE own <= 10)) WHERE rank <= 10"),
     "eval_error_stats": sql("SELECT episode_id, round(avg(error), 6) AS mean_error, round(quantile_cont(error, 0.5), 6) AS median_error, round(quantile_cont(error, 0.9), 6) AS p90_error, count(*) AS n_steps FROM steps GROUP BY episode_id"),
     "split_episodes": sql("SELECT held, CASE WHEN held THEN n ELSE all_n - n END AS n_episodes FROM (SELECT count(DISTINCT episode_id) AS all_n, round_even(count(DISTINCT episode_id) * 0.2, 0)::BIGINT AS n FROM e), (SELECT unnest([TRUE, FALSE]) AS held)").replace("SELECT held,", "SELECT held AS held_out,"),
     "significance": sql("SELECT a.episode_id, b.m - a.m > 0 AND b.m - a.m > a.sd + b.sd AS by_spread, b.m - a.m > 0 AS plain FROM st a JOIN st b ON b.episode_id = a.episode_id + 1", st="SELECT episode_id, avg(error) AS m, stddev_pop(error) AS sd FROM steps GROUP BY episode_id"),
     "condition_stats": sql("SELECT condition, round(avg(error), 6) AS mean_error, round(stddev_pop(error), 6) AS std_error, sum(n)::BIGINT AS n_steps FROM (SELECT episode_id % 3 AS condition, avg(error) AS error, count(*) AS n FROM steps GROUP BY episode_id) GROUP BY condition"),
-    "record_round_trip": sql("SELECT id, episode_id, seq_no, timestamp_ns, round(pred_err, 4) AS pred_err, flags, round(z[1], 6) AS z0, round(action[4], 6) AS a3 FROM e"),
-    "store_round_trip": sql(f"SELECT {_ROWS} FROM marked WHERE id >= 50 AND flags <> 1"),
-    "append_dense_ids": sql("SELECT (SELECT count(*) FROM e) + row_number() OVER (ORDER BY timestamp_ns, id) - 1 AS id, episode_id, (SELECT count(*) FROM e x WHERE x.episode_id = e.episode_id) + row_number() OVER (PARTITION BY episode_id ORDER BY timestamp_ns, id) - 1 AS seq_no, id AS old_id FROM e WHERE id % 3 = 0"),
+    "record_round_trip": sql("SELECT id, episode_id, seq_no, timestamp_ns, round(pred_err, 4) AS pred_err, flags, " + _VECTORS.replace(", 4)", ", 3)") + " FROM e"),
+    "store_round_trip": sql(f"SELECT {_ROWS}, {_VECTORS} FROM marked WHERE id >= 50 AND flags <> 1"),
+    "append_dense_ids": sql("SELECT (SELECT count(*) FROM e) + row_number() OVER (ORDER BY timestamp_ns, id) - 1 AS id, episode_id, (SELECT count(*) FROM e x WHERE x.episode_id = e.episode_id) + row_number() OVER (PARTITION BY episode_id ORDER BY timestamp_ns, id) - 1 AS seq_no, id AS old_id FROM e"),
     "stream_ingest_equals_batch": sql("SELECT episode_id, count(*) AS length, count(*) - 1 AS last_seq, round(sum(pred_err), 4) AS err FROM e GROUP BY episode_id"),
 }

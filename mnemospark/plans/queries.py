@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import evaluate as ev
 from ..operators import experiment, graph, lifecycle, log, retrieve, search, trigger
-from ..operators.components import checkpointed
+from ..operators.components import checkpointed, shared_folder
 from ..sources import records, synthetic
 from ..sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA, from_tables
 from ..sources.store import Store
@@ -41,10 +41,15 @@ def _r(name: str, out: str | None = None):
     return F.round(F.col(name), 6).alias(out or name)
 
 
+def _mix(array: str, digits: int = 4):
+    """The sum of a vector's elements times their places: it changes with any element and with their order."""
+    return F.round(F.aggregate(F.transform(F.col(array), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), digits)
+
+
 def _ends(array: str):
-    """The first and last elements of a vector, and its length: enough to tell vectors apart in a report."""
+    """The first and last elements of a vector, its length, and a sum over all elements."""
     a = F.col(array)
-    return F.round(a[0], 6).alias("first"), F.round(F.element_at(a, -1), 6).alias("last"), F.round(vec.norm(a), 6).alias("norm")
+    return F.round(a[0], 6).alias("first"), F.round(F.element_at(a, -1), 6).alias("last"), F.round(vec.norm(a), 6).alias("norm"), _mix(array).alias("mix")
 
 
 def _centroids(e: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def ivf_probe(s, d):
 def ivf_probe_topk(s, d):
     e = from_tables(s, d)
     c = _centroids(e)
-    return _found(search.ivf_topk(e, search.assign_lists(e, c), c, _asked(e), K, 3))
+    return _found(search.ivf_topk(e, checkpointed(search.assign_lists(e, c)), c, _asked(e), K, None))
 
 
 @query
@@ -163,8 +168,8 @@ def ivf_health(s, d):
     e = from_tables(s, d)
     c = _centroids(e)
     a = checkpointed(search.assign_lists(e, c))
-    baseline = a.where("id < 200").agg(F.avg("distance").alias("baseline"))
-    return search.index_health(a, c, baseline, 100).select(_r("imbalance"), _r("drift"), "needs_retrain")
+    baseline = a.agg(F.avg("distance").alias("baseline"))  # the centroids come from all rows
+    return search.index_health(a, c, baseline).select(_r("imbalance"), _r("drift"), "needs_retrain")
 
 
 @query
@@ -237,6 +242,14 @@ def scorer_rerank(s, d):
     return _found(retrieve.rerank(search.exact_topk(e, q, 20), e, q))
 
 
+@query
+def scorer_equal_weights(s, d):
+    """Re-ranking with weights that sum to 0: all signals weigh equally."""
+    e = from_tables(s, d)
+    q = _asked(e)
+    return _found(retrieve.rerank(search.exact_topk(e, q, 20), e, q, 0, 0, 0))
+
+
 @query
 def recall_scored(s, d):
     e = from_tables(s, d)
@@ -266,7 +279,7 @@ def _context(e):
 @query
 def build_context(s, d):
     _, c = _context(from_tables(s, d))
-    return c.select("query_id", "pos", "mask", _r("mem_score"), F.round(F.col("mem_z")[0], 6).alias("z0"), F.round(F.col("mem_action")[0], 6).alias("a0"), F.round(F.col("mem_outcome")[0], 6).alias("o0"))
+    return c.select("query_id", "pos", "mask", _r("mem_score"), _mix("mem_z").alias("z"), _mix("mem_action").alias("action"), _mix("mem_outcome").alias("outcome"))
 
 
 @query
@@ -361,7 +374,7 @@ def pinned_protection(s, d):
 
 
 def _rows(e):
-    return e.select("id", "episode_id", "seq_no", "timestamp_ns", _r("pred_err"), "flags")
+    return e.select("id", "episode_id", "seq_no", "timestamp_ns", _r("pred_err"), "flags", _mix("z").alias("z"), _mix("action").alias("action"))
 
 
 @query
@@ -377,36 +390,36 @@ def _marked(e):
 
 @query
 def near_dup_pairs(s, d):
-    return lifecycle.near_duplicate_pairs(_marked(from_tables(s, d)), NEAR, k=K).select("a", "b", _r("score"))
+    return lifecycle.near_duplicate_pairs(_marked(from_tables(s, d)), NEAR).select("a", "b", _r("score"))
 
 
 @query
 def dup_components(s, d):
     e = _marked(from_tables(s, d))
-    return lifecycle.duplicate_groups(e, lifecycle.near_duplicate_pairs(e, NEAR, k=K))
+    return lifecycle.duplicate_groups(e, lifecycle.near_duplicate_pairs(e, NEAR))
 
 
 @query
 def compact_idmap(s, d):
-    return lifecycle.compaction_map(_marked(from_tables(s, d)), NEAR, k=K)
+    return lifecycle.compaction_map(_marked(from_tables(s, d)), NEAR)
 
 
 @query
 def compact_rows(s, d):
-    return _rows(lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR, k=K).log)
+    return _rows(lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR).log)
 
 
 @query
 def compact_edges(s, d):
     e = from_tables(s, d)
     edges = checkpointed(graph.temporal_edges(e).select(F.col("dst").alias("ord"), "src", "dst", "weight", "edge_type"))
-    out = lifecycle.compact(_marked(e), graph.bounded_edges(edges, DEGREE), threshold=NEAR, degree=DEGREE, k=K)
+    out = lifecycle.compact(_marked(e), graph.bounded_edges(edges, DEGREE), threshold=NEAR, degree=DEGREE)
     return out.edges.select("src", "slot", "dst", "weight", "edge_type")
 
 
 @query
 def compact_stats(s, d):
-    st = lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR, k=K).stats
+    st = lifecycle.compact(_marked(from_tables(s, d)), threshold=NEAR).stats
     return s.createDataFrame([(st["old_count"], st["new_count"], st["tombstones_dropped"], st["records_merged"])], "old_count long, new_count long, tombstones_dropped long, records_merged long")
 
 
@@ -431,7 +444,7 @@ def tiered_topk(s, d):
     tiers = checkpointed(_tiers(e))
     hot, cold = (e.join(tiers.where(F.col("tier") == t).select("id"), "id", "left_semi") for t in ("hot", "cold"))
     c = checkpointed(_centroids(e))
-    return search.tiered_topk(hot, cold, search.assign_lists(cold, c), c, _asked(e), K, 3).select("query_id", "id", _r("score"), "tier", "rank")
+    return search.tiered_topk(hot, cold, checkpointed(search.assign_lists(cold, c)), c, _asked(e), K, None).select("query_id", "id", _r("score"), "tier", "rank")
 
 
 # evaluation
@@ -489,7 +502,7 @@ def gated_retrieval(s, d):
 def _scratch(s, name):
     import uuid
 
-    return f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
 
 
 @query
@@ -504,7 +517,7 @@ def record_round_trip(s, d):
             yield pd.concat([records.unpack(bytes(r), layout) for r in f["record"]])[SCHEMA.names].astype({"flags": "int32"}) if len(f) else f
 
     out = records.as_bytes(from_tables(s, d), layout).select("record").mapInPandas(back, SCHEMA)
-    return out.select("id", "episode_id", "seq_no", "timestamp_ns", F.round("pred_err", 4).alias("pred_err"), "flags", F.round(F.col("z")[0], 6).alias("z0"), F.round(F.col("action")[3], 6).alias("a3"))
+    return out.select("id", "episode_id", "seq_no", "timestamp_ns", F.round("pred_err", 4).alias("pred_err"), "flags", _mix("z", 3).alias("z"), _mix("action", 3).alias("action"))
 
 
 @query
@@ -527,7 +540,7 @@ def append_dense_ids(s, d):
     from ..sources.experience import with_dense_ids
 
     e = from_tables(s, d)
-    new = e.where("id % 3 = 0").select("episode_id", "timestamp_ns", F.col("id").alias("old_id"))
+    new = e.select("episode_id", "timestamp_ns", F.col("id").alias("old_id"))
     sizes = e.groupBy("episode_id").agg(F.count("*").alias("size"))
     return with_dense_ids(new, e.count(), ["timestamp_ns", "old_id"], sizes).select("id", "episode_id", "seq_no", "old_id")
 

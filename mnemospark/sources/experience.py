@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vec
+from ..operators.components import shared_folder
 
 FLAG_DELETED, FLAG_PINNED = 1, 2
 
@@ -57,7 +58,7 @@ def with_dense_ids(new: DataFrame, first_id: int, order: list[str], episode_size
     episode_sizes: (episode_id, size) of the rows that the table has."""
     spark = new.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()).checkpoint()
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_in").alias("lo"))  # a row per partition
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

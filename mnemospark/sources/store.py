@@ -1,8 +1,10 @@
-"""A durable experience table: Parquet versions in a folder, and a pointer to the current one.
+"""A durable experience table: Parquet parts in a folder, and a pointer that lists the current ones.
 
-Appends add files to the current version (Spark's commit protocol makes them whole or absent, so there is
-no torn row to recover); a rebuild writes a new version and moves the pointer by a rename.  All paths go
-through Hadoop's FileSystem, so a store can lie wherever Spark reads.
+An append writes a part of its own and then a new pointer, which lists it beside the parts before; a rebuild
+writes a pointer to one new part.  A pointer is a numbered file that is renamed into place and never changed,
+so that there always is one, a write takes effect whole or not at all, together with the notes that go with
+it, and of two writers that start from the same pointer one fails.  What a failed write leaves behind is
+listed nowhere.  All paths go through Hadoop's FileSystem, so a store can lie wherever Spark reads.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from ..config import MemoryConfig
 from .experience import SCHEMA, validated, with_dense_ids
 
-POINTER = "current.json"
+#: Pointers are kept for readers that have just looked; older ones go.
+KEPT_POINTERS = 3
 
 
 class Store:
@@ -27,40 +30,46 @@ class Store:
         if found is None:
             if config is None:
                 raise ValueError(f"no store at {path}")
-            found = {"dim": config.dim, "action_dim": config.action_dim, "index": index_options or {}, "version": "v-" + uuid.uuid4().hex}
-            spark.createDataFrame([], SCHEMA).write.parquet(f"{self.path}/{found['version']}")
+            found = {"dim": config.dim, "action_dim": config.action_dim, "index": index_options or {}, "parts": []}
+            self.number = 0
             self._write_pointer(found)
         elif config is not None and (config.dim, config.action_dim) != (found["dim"], found["action_dim"]):
             raise ValueError(f"the store at {path} has dim {found['dim']} and action_dim {found['action_dim']}")
         self.meta = found
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
     def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[int]:
+        found = self._fs().globStatus(self._path("current-*.json")) or []
+        return sorted(int(f.getPath().getName()[8:-5]) for f in found)
 
     def _read_pointer(self) -> dict | None:
-        fs, p = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{POINTER}")
-        if not fs.exists(p):
+        numbers = self._pointers()
+        if not numbers:
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/{POINTER}", wholetext=True).first()[0])
+        self.number = numbers[-1]
+        return json.loads(self.spark.read.text(f"{self.path}/current-{self.number:012d}.json", wholetext=True).first()[0])
 
     def _write_pointer(self, meta: dict) -> None:
-        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
-        part = path(f"{self.path}/.{uuid.uuid4().hex}")
+        """Make meta the current pointer, or fail if another writer was first."""
+        fs, part, to = self._fs(), self._path(f".{uuid.uuid4().hex}"), self._path(f"current-{self.number + 1:012d}.json")
         out = fs.create(part)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        to = path(f"{self.path}/{POINTER}")
-        if not fs.rename(part, to):  # some file systems don't replace
-            fs.delete(to, False)
-            fs.rename(part, to)
-
-    @property
-    def current(self) -> str:
-        return f"{self.path}/{self.meta['version']}"
+        if fs.exists(to) or not fs.rename(part, to):
+            fs.delete(part, False)
+            raise RuntimeError(f"the store at {self.path} was written by someone else")
+        self.number, self.meta = self.number + 1, meta
+        for old in self._pointers()[:-KEPT_POINTERS]:
+            fs.delete(self._path(f"current-{old:012d}.json"), False)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.current)
+        parts = [f"{self.path}/{p}" for p in self.meta["parts"]]
+        return self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
 
     def scan(self, start_id: int = 0) -> DataFrame:
         """Rows from start_id on in id order; files and row groups below it are skipped by their statistics."""
@@ -69,24 +78,24 @@ class Store:
     def count(self) -> int:
         return self.read().count()
 
-    def append(self, rows: DataFrame, max_rows_per_file: int = 100_000) -> None:
-        """Append rows that have ids; no-op for none."""
+    def append(self, rows: DataFrame, max_rows_per_file: int = 100_000, notes: dict | None = None) -> None:
+        """Append rows that have ids; notes become part of the pointer with them, or not at all."""
         out = validated(rows, self.meta["dim"], self.meta["action_dim"]).select(*SCHEMA.names)
-        out.sortWithinPartitions("id").write.mode("append").option("maxRecordsPerFile", max_rows_per_file).parquet(self.current)
+        part = "p-" + uuid.uuid4().hex
+        out.sortWithinPartitions("id").write.option("maxRecordsPerFile", max_rows_per_file).parquet(f"{self.path}/{part}")
+        self._write_pointer(self.meta | {"parts": [*self.meta["parts"], part]} | (notes or {}))
 
-    def append_new(self, rows: DataFrame, order: list[str]) -> int:
+    def append_new(self, rows: DataFrame, order: list[str], notes: dict | None = None) -> int:
         """Append rows without ids, in the given order; the first id that they got."""
         mine = self.read()
         first = mine.agg(F.max("id")).first()[0]
         first = 0 if first is None else first + 1
         sizes = mine.groupBy("episode_id").agg(F.count("*").alias("size"))
-        self.append(with_dense_ids(rows, first, order, sizes))
+        self.append(with_dense_ids(rows, first, order, sizes), notes=notes)
         return first
 
     def replace(self, rows: DataFrame) -> None:
-        """A new version with these rows; readers of the old one aren't disturbed."""
-        version = "v-" + uuid.uuid4().hex
-        rows.select(*SCHEMA.names).sortWithinPartitions("id").write.parquet(f"{self.path}/{version}")
-        meta = self.meta | {"version": version}
-        self._write_pointer(meta)
-        self.meta = meta
+        """Make these rows the table, as one part; readers of the old parts aren't disturbed."""
+        part = "p-" + uuid.uuid4().hex
+        rows.select(*SCHEMA.names).sortWithinPartitions("id").write.parquet(f"{self.path}/{part}")
+        self._write_pointer(self.meta | {"parts": [part]})

@@ -21,14 +21,13 @@ from ..sources.store import Store
 def ingest(stream: DataFrame, store: Store, checkpoint: str, order: list[str]) -> StreamingQuery:
     """Append each micro-batch to the store with dense ids, in the given order within the batch.
 
-    A batch that is tried again after a failure is recognised by its number and skipped."""
+    A batch's number becomes part of the store's pointer together with its rows, so that a batch that is tried
+    again after a failure is skipped if it was appended, and appended once if it wasn't."""
 
     def append(batch: DataFrame, number: int) -> None:
         done = store.meta.get("last_batch", -1)
         if number > done and not batch.isEmpty():
-            store.append_new(batch.withColumn("flags", F.lit(0)), order)
-            store.meta = store.meta | {"last_batch": number}
-            store._write_pointer(store.meta)
+            store.append_new(batch.withColumn("flags", F.lit(0)), order, {"last_batch": number})
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

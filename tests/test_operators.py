@@ -236,7 +236,9 @@ def test_a_lone_candidate_keeps_its_score_and_missing_actions_drop_out(spark):
     assert got[0, 3] == 0.25
     assert got[1, 2] == pytest.approx(1 / 1.2) and got[1, 8] == pytest.approx((0.5 + 0.2) / 1.2) and got[1, 4] == pytest.approx(0.2 * (2 / 6) / 1.2)
     zero = retrieve.rerank(one, e, q, 0, 0, 0).where("query_id = 1").collect()
-    assert {r.score for r in zero} == {0.0}
+    assert {r.id: r.score for r in zero} == pytest.approx({2: 0.5, 4: 1 / 6, 8: 0.75})  # the signals that are left weigh equally
+    action_only = retrieve.rerank(one, e, q, 0, 0.5, 0).where("query_id = 1").collect()
+    assert {r.id: r.score for r in action_only} == pytest.approx({2: 0.5, 4: 1 / 6, 8: 0.75})
 
 
 def test_fusion_ends(spark):
@@ -273,6 +275,48 @@ def test_recall_modes(spark):
 # trigger
 
 
+def test_gate_over_one_long_stream_and_null_keys(spark):
+    rows = spark.range(300_000).select(F.when(F.col("id") < 250_000, F.lit(1)).when(F.col("id") < 260_000, None).otherwise(F.col("id") % 7 + 5).cast("long").alias("key"), F.col("id").alias("ord"), F.when(F.col("id") % 1000 != 999, (F.hash("id") % 1000) / 100.0).alias("error"))
+    got = trigger.gate(rows)
+    stats = {r.key: r for r in got.groupBy("key").agg(F.count("*").alias("n"), F.max("count").alias("last"), F.min("count").alias("first")).collect()}
+    assert {k: r.n for k, r in stats.items()} == {r.key: r.n for r in rows.where("error is not null").groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert all(r.first == 0 and r.last == r.n - 1 for r in stats.values())
+    assert trigger.gate(rows.limit(0)).count() == 0
+
+
+def test_has_edge_and_neighbours(spark):
+    edges = spark.createDataFrame([(1, 0, 2, 0.5, 0), (1, 1, 3, 0.7, 1), (2, 0, 1, 1.0, 0)], "src long, slot int, dst long, weight double, edge_type int")
+    assert graph.has_edge(edges, 1, 3) and graph.has_edge(edges, 1, 3, graph.ANALOGOUS) and not graph.has_edge(edges, 1, 3, graph.TEMPORAL) and not graph.has_edge(edges, 3, 1)
+    assert [(r.dst, r.weight) for r in graph.neighbours_of(edges, 1).collect()] == [(2, 0.5), (3, 0.7)]
+    assert [r.dst for r in graph.neighbours_of(edges, 1, graph.ANALOGOUS).collect()] == [3] and graph.neighbours_of(edges, 9).isEmpty()
+
+
+def test_latencies(spark):
+    rows, e = experience(spark, 40)
+    q = as_queries(e, list(range(30)))
+    c = search.train_centroids(e, 3)
+    got = ev.sweep_nprobe(e, search.assign_lists(e, c), c, q, 3, [1, 3], timed=True).collect()
+    assert [r.nprobe for r in got] == [1, 3] and got[1].mean_recall == 1.0
+    assert all(0 < r.p50_ms <= r.p95_ms <= r.p99_ms and r.mean_ms > 0 for r in got)
+    assert ev.latencies(lambda x: x, q.limit(0)) == dict.fromkeys(("mean_ms", "p50_ms", "p95_ms", "p99_ms"), 0.0)
+
+
+def test_inverted_file_with_empty_lists_unknown_probes_and_no_rows(spark):
+    rows, e = experience(spark, 50)
+    c = search.train_centroids(e, 5)
+    a = search.assign_lists(e, c)
+    q = as_queries(e, [1, 2, 3])
+    assert search.ivf_topk(e, a, c, q.limit(0), 4, 2).count() == 0 and search.ivf_topk(e.limit(0), a.limit(0), c, q, 4, 2).count() == 0
+    probed = {(r.query_id, r.list_id) for r in search.probe_lists(q, c, 2).collect()}
+    lists = {r.id: r.list_id for r in a.collect()}
+    z = {r[0]: np.array(r[6]) for r in rows}
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in search.ivf_topk(e, a, c, q, 4, 2).collect()}
+    for i in (1, 2, 3):
+        want = sorted(((-float(z[i] @ z[j]), j) for j in z if (i, lists[j]) in probed))[:4]
+        assert [got[i, k + 1][0] for k in range(len(want))] == [j for _, j in want]
+        assert [got[i, k + 1][1] for k in range(len(want))] == pytest.approx([-s for s, _ in want])
+
+
 def test_gate_equals_a_loop(spark):
     rng = random.Random(3)
     errors = [(k, i, abs(rng.gauss(1, 0.3)) + 5 * (rng.random() < 0.05)) for k in range(4) for i in range(80)]

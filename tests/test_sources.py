@@ -74,6 +74,96 @@ def test_store(spark, tmp_path):
     assert Store(spark, path).count() == 8 and old.count() == 15  # readers of the old version see it still
 
 
+def test_pointers_of_a_store(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store, other = Store(spark, path, MemoryConfig(4, 2)), Store(spark, path)
+    for k in range(5):
+        store.append(spark.createDataFrame(rows(2, seed=k), SCHEMA), notes={"k": k})
+    assert store.count() == 10 and Store(spark, path).meta["k"] == 4 and len(store._pointers()) == 3
+    with pytest.raises(RuntimeError, match="someone else"):
+        other.number = store.number - 1  # it has seen the pointer before the last one
+        other.append(spark.createDataFrame(rows(2), SCHEMA))
+    assert Store(spark, path).count() == 10  # its rows are listed nowhere
+
+
+def test_ingest_that_fails_between_rows_and_pointer_appends_once(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s", MemoryConfig(4, 2))
+    src = arrivals(spark, 12)
+    src.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in")
+    write = Store._write_pointer
+
+    def fails(self, meta):
+        raise OSError("lost after the rows, before the pointer")
+
+    monkeypatch.setattr(Store, "_write_pointer", fails)
+    with pytest.raises(Exception, match="lost after the rows"):
+        ingest(stream, store, f"{tmp_path}/cp", ["timestamp_ns"]).awaitTermination()
+    monkeypatch.setattr(Store, "_write_pointer", write)
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.count() == 0
+    for _ in range(2):
+        ingest(stream, store, f"{tmp_path}/cp", ["timestamp_ns"]).awaitTermination()
+    assert Store(spark, f"file://{tmp_path}/s").count() == 12
+    # the offsets are lost after the append: the batch comes again under its number
+    ingest(stream, Store(spark, f"file://{tmp_path}/s"), f"{tmp_path}/cp2", ["timestamp_ns"]).awaitTermination()
+    assert Store(spark, f"file://{tmp_path}/s").count() == 12
+
+
+def test_plugged_in_parts_take_the_place_of_built_in_ones(spark):
+    calls = []
+
+    def index(keys, asked, k):
+        calls.append(("index", k))
+        return asked.select("query_id", F.explode(F.expr("array(3L, 5L)")).alias("id")).withColumn("score", F.lit(0.5)).withColumn("rank", F.lit(1))
+
+    def expander(found, edges, depth):
+        calls.append(("expander", depth))
+        return found.select("query_id", "id", "score").unionByName(found.select("query_id", F.lit(7).cast("long").alias("id"), F.lit(0.1).alias("score")).distinct())
+
+    def scorer(candidates, log_, queries):
+        calls.append("scorer")
+        return candidates.select("query_id", "id", (-F.col("id")).cast("double").alias("score"), (F.col("id") - 2).cast("int").alias("rank"))
+
+    def predictor(queries, context):
+        calls.append("predictor")
+        return queries.select("query_id", F.col("base").alias("prediction"))
+
+    m = Memory(spark, MemoryConfig(4, 2), Options(expansion_depth=2), scorer=scorer, index=index, expander=expander, predictor=predictor)
+    m.observe(arrivals(spark, 20), ["timestamp_ns"])
+    m.edges = spark.createDataFrame([], "src long, slot int, dst long, weight double, edge_type int")
+    q = m.log.where("id in (1, 2)").select(F.col("id").alias("query_id"), "z", "action", F.col("z").alias("base"))
+    assert sorted((r.query_id, r.id) for r in m.recall(q, 5).collect()) == [(1, 3), (1, 5), (1, 7), (2, 3), (2, 5), (2, 7)]
+    assert calls == [("index", 25), ("expander", 2), "scorer"]
+    assert m.context(q, 5).where("mask").count() == 6 and m.predict(q, 5).where("prediction is not null").count() == 2 and calls[-1] == "predictor"
+    assert not m.train_if_needed()
+
+
+def test_state_of_the_index_and_tiers(spark):
+    m = Memory(spark, MemoryConfig(4, 2), Options(n_lists=3, nprobe=3, inverted=True))
+    assert not m.train_if_needed() and m.index_state() == {"trained": False, "lists": 0, "rows": 0}
+    with pytest.raises(RuntimeError):
+        m.index_health()
+    m.observe(arrivals(spark, 20), ["timestamp_ns"])
+    assert m.train_if_needed() and not m.train_if_needed()
+    assert m.index_state() == {"trained": True, "lists": 3, "rows": 20} and not m.index_health().first().needs_retrain
+    m.observe(arrivals(spark, 9, 5), ["timestamp_ns"])  # assigned when they come, not when they are searched
+    assert m.index_state()["rows"] == 29
+    q = m.log.where("id in (3, 25)").select(F.col("id").alias("query_id"), "z", "action")
+    exact = Memory(spark, MemoryConfig(4, 2))
+    exact.log = m.log
+    assert sorted((r.query_id, r.id) for r in m.recall(q, 4).collect()) == sorted((r.query_id, r.id) for r in exact.recall(q, 4).collect())
+    with pytest.raises(ValueError):
+        m.tier_counts()
+    t = Memory(spark, MemoryConfig(4, 2), Options(hot_capacity=5, n_lists=2, nprobe=2))
+    t.observe(arrivals(spark, 8), ["timestamp_ns"])
+    assert t.tier_counts() == {"hot": 8, "cold": 0}
+    t.migrate(NOW)
+    assert t.tier_counts() == {"hot": 5, "cold": 3} and {t.tier_of(i) for i in range(8)} == {"hot", "cold"}
+    with pytest.raises(ValueError):
+        t.tier_of(99)
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(e, t) for t, e in enumerate([2, 0, 1, 2, 2, 0] * 20)], "episode_id long, timestamp_ns long").repartition(7)
     got = with_dense_ids(df, 100, ["timestamp_ns"], spark.createDataFrame([(2, 5)], "episode_id long, size long")).orderBy("id").collect()
