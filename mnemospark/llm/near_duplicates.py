@@ -15,7 +15,8 @@ collection with probability 0.512, and is missed only if it agrees in fewer than
    with all nodes of other components, and confirmed as above.
 5. The nodes of larger unsettled buckets are grouped by the key of the bucket's first collection, the groups
    dealt into chunks of bounded bytes, and each two chunks compared in one task, set against set (a product
-   of incidence matrices over the shingles that two of them share at least).  A pair is compared only in the
+   of incidence matrices over the shingles that two of them share at least); two chunks of the group's largest
+   component aren't.  A pair is compared only in the
    group of the first collection that it agrees in, and only if it agrees in two or more and its components
    differ; a task returns which components are linked, not pairs.
 
@@ -283,10 +284,18 @@ def _components(base: DataFrame, unique: bool, size: int, percent: int) -> tuple
 
     large = stored(finder.labelled(todo.where(F.col("size") > SMALL).select("c", "key", "node", "n").distinct()), "large")
     if not large.isEmpty():
-        chunks = F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int")
-        groups = stored(large.groupBy("c", "key").agg(chunks.alias("chunks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c", "key", "chunks"), "groups")
-        dealt = large.join(groups, ["c", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-        dealt = dealt.join(alive.select("node", "keys"), "node").join(sets, "node").select("c", "key", "chunk", "label", "keys", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        # a group's largest component is dealt apart from the other nodes: its own chunks aren't compared with each
+        # other, and its nodes are copied once per chunk of the others only
+        chunks = lambda k, n: F.greatest(F.ceil(F.col(k) / CHUNK_NODES), F.ceil(F.col(n) * 8 / CHUNK_BYTES)).cast("int")
+        parts = large.groupBy("c", "key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        groups = parts.groupBy("c", "key").agg(F.max(F.struct("k", "n", "label")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+        groups = groups.select("c", "key", "main.label", "main.k", "main.n", F.expr("k - main.k").alias("rest_k"), F.expr("n - main.n").alias("rest_n"))
+        groups = stored(groups.select("c", "key", F.col("label").alias("main"), chunks("rest_k", "rest_n").alias("rest"), (chunks("rest_k", "rest_n") + chunks("k", "n")).alias("all")), "groups")
+        dealt = large.join(groups, ["c", "key"]).withColumn("h", F.xxhash64("node"))
+        others = F.col("label") != F.col("main")
+        chunk = F.when(others, F.pmod("h", "rest")).otherwise(F.col("rest") + F.pmod("h", F.col("all") - F.col("rest"))).cast("int")
+        against = F.explode(F.sequence(F.lit(0), F.when(others, F.col("all")).otherwise(F.col("rest")) - 1))
+        dealt = dealt.withColumn("chunk", chunk).join(alive.select("node", "keys"), "node").join(sets, "node").select("c", "key", "chunk", "label", "keys", "members", against.alias("other"))
         dealt = dealt.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other")
         finder.unite(stored(dealt.groupBy("c", "key", "lo", "hi").applyInArrow(_compared(percent), "a long, b long"), "compared"))
 
