@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -234,7 +235,9 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
 
     @F.pandas_udf("array<int>")
     def ids(texts):
-        return texts.map(lambda t: np.frombuffer(_loaded(name).encode_batch([t or ""])[0], "<i4"))
+        column = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+        found = [x for part in text_chunks(iter([column])) for x in _loaded(name).encode_batch([t or "" for t in part.column("text").to_pylist()])]
+        return pd.Series([np.frombuffer(x, "<i4") for x in found], index=texts.index)
 
     return docs.withColumn("ids", ids(F.col(text_col)))
 
