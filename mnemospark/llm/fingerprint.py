@@ -5,13 +5,13 @@ modulo a small number, so that a cut depends on nothing but the word before it a
 pieces.  The distinct paragraph digests go into a sketch of cells (count, sum of digests, sum of check
 values); a digest goes into one cell of each of three equal regions.  Subtracting the sketches of two
 versions cancels what they share, and peeling pure cells recovers the digests of either side only.  When
-peeling gets stuck the pair is tried again with a sketch four times as large, up to one that holds every
-digest with room to spare.  Likeness is |A and B| / |A or B| of the digest sets, from the recovered
+peeling gets stuck the pair is tried again with a sketch four times as large, until it comes undone.  Likeness is |A and B| / |A or B| of the digest sets, from the recovered
 differences.  All sketches of a batch lie in one array, so building, subtracting and peeling are a few
 numpy passes per round over the whole batch.
 
-The next document of a row is found by one range shuffle: documents are dealt into ranges of doc_id and
-sorted within them, and the first document of a range is also dealt, as a tail, to the range above.
+The next document of a row is found by one range shuffle: documents are dealt into ranges of (doc_id, text
+hash), one to a partition, and sorted within them, and the first document of a range is also dealt, as a tail,
+to the range above.  An id that many rows share, and rows without an id, are split by the hash.
 
 Defined results: a null text is an empty one, with no paragraphs; two empty texts have likeness 1, an
 empty and a non-empty one 0.  Documents are ordered by descending doc_id, null ids last, ties by text
@@ -36,10 +36,10 @@ from .tokens import Words, mix64
 CELLS = 24
 #: A piece ends after a word whose hash is 0 modulo this.
 CUT = 4
-#: Characters of text in one range of doc_id.
-RANGE_CHARS = 16 << 20
-#: Ranges at most; their first documents are broadcast (ids, not texts), under 1 MB. Larger inputs get larger ranges.
-MAX_RANGES = 20_000
+#: Characters of text in one range of documents, about.
+RANGE_CHARS = 8 << 20
+#: Ranges at most; where each begins is broadcast (ids, not texts), under 10 MB. Larger inputs get larger ranges.
+MAX_RANGES = 200_000
 
 
 def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,27 +197,62 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = base.withColumn("tie", F.xxhash64("text"))
-    chars = base.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    n = min(max(1, -(-chars // range_chars)), MAX_RANGES)
+    chars, rows, nulls = base.agg(F.sum(F.length("text").cast("long")), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    n = min(max(1, -(-(chars or 0) // range_chars)), MAX_RANGES)
     bounds = []
     if n > 1:
-        bounds = sorted({b for b in base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or [] if b is not None})
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+        bounds = sorted(b for b in base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or [] if b is not None)
+    ranges = _Ranges(np.array(bounds, np.int64), -(-nulls * n // max(rows, 1)))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((ranges, _places(spark, ranges.count)))
 
     @F.pandas_udf("long")
-    def number(ids):
-        missing = ids.isna().to_numpy()
-        return pd.Series(np.where(missing, 0, np.searchsorted(sent.value, ids.fillna(0).to_numpy(np.int64))))
+    def number(ids, ties):
+        return pd.Series(sent.value[0].of(ids.isna().to_numpy(), ids.fillna(0).to_numpy(np.int64), ties.to_numpy(np.int64)))
 
-    ranged = key.withColumn("rng", number("doc_id"))
+    @F.pandas_udf("int")
+    def place(rng):
+        return pd.Series(sent.value[1][rng.to_numpy(np.int64)])
+
+    ranged = key.withColumn("rng", number("doc_id", "tie"))
     firsts = ranged.groupBy("rng").agg(F.max(F.struct("doc_id", "tie")).alias("top")).orderBy("rng").collect()  # a row per range
     above = [(r.rng, firsts[(i + 1) % len(firsts)].rng, r.top.doc_id, r.top.tie) for i, r in enumerate(firsts)]
-    tails = docs.sparkSession.createDataFrame(above, "rng long, above long, doc_id long, tie long")
+    tails = spark.createDataFrame(above, "rng long, above long, doc_id long, tie long")
     first_rows = ranged.alias("r").join(F.broadcast(tails).alias("t"), (F.col("r.rng") == F.col("t.rng")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.tie") == F.col("t.tie")))
-    tail_rows = first_rows.select(F.col("t.above").alias("rng"), F.lit(1).alias("tail"), "r.doc_id", "r.text", "r.tie")
+    tail_rows = first_rows.select(F.col("t.above").alias("rng"), F.lit(1).alias("tail"), "r.doc_id", "r.text", "r.tie").dropDuplicates(["rng"])  # copies of it count once
     every = ranged.select("rng", F.lit(0).alias("tail"), "doc_id", "text", "tie").unionByName(tail_rows)
-    parts = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return every.repartition(parts, "rng").sortWithinPartitions("rng", "tail", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    return every.repartition(ranges.count, place("rng")).sortWithinPartitions("rng", "tail", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+
+
+class _Ranges:
+    """Contiguous ranges of rows in ascending order of (doc_id, tie), null ids first.
+
+    bounds: ids at which ranges begin, ascending; an id that is there more than once has so many rows that they
+    are split by tie, as are those without an id, into so many ranges.
+    """
+
+    def __init__(self, bounds: np.ndarray, nulls: int):
+        self.bounds, self.nulls = bounds, max(nulls, 1)
+        self.count = len(bounds) + self.nulls
+
+    def of(self, missing: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.bounds, ids, "left"), np.searchsorted(self.bounds, ids, "right")
+        parts = np.where(missing, self.nulls, np.maximum(hi - lo, 1)).astype(np.uint64)
+        unsigned = ties.view(np.uint64) ^ np.uint64(1 << 63)  # in the order of the signed ones
+        step = np.uint64(2**64 - 1) // parts + np.uint64(1) * (parts > 1)
+        part = np.where(parts > 1, unsigned // step, np.uint64(0)).astype(np.int64)
+        return np.where(missing, part, self.nulls - 1 + lo + np.where(hi > lo, 1 + part, 0))
+
+
+def _places(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that Spark's hash partitioning into n partitions sends to the partitions 0, 1, 2, ... in turn, so
+    that each has one range; where none was found, the number of the partition."""
+    number = F.col("id").cast("int")
+    found = spark.range(32 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("id")).collect()  # n rows
+    out = np.arange(n, dtype=np.int32)
+    for r in found:
+        out[r.p] = r.id
+    return out
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20, range_chars: int = RANGE_CHARS) -> DataFrame:
