@@ -59,3 +59,35 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 1
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "bpe"]
+
+
+def frame(spark, rows):
+    """Documents with more columns, under names that the stages use themselves."""
+    extra = ["toxic", "score", "rid", "node", "label", "text_key", "ids", "shard", "row", "rng", "items"]
+    data = [(d, t, "en", "s", len(t or ""), *range(i, i + len(extra))) for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)).repartition(3), extra
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Rows are judged by their own texts: of copies the least id stays, a row without an id only if no other does."""
+    plain = [f"word{i} " * 3 + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(6)]
+    leak = "ten quite rare words that only a leaked test would hold"
+    rows = [(5, plain[0]), (None, plain[0]), (None, plain[1]), (None, plain[1]), (3, plain[2]), (3, plain[2]), (3, plain[3]), (2, plain[3]), (9, plain[4]), (9, plain[4] + " " + leak), (None, leak + " x"), (7, None), (7, None), (None, ""), (8, "long " * 40_000 + "4111111111111111")]
+    docs, extra = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, 0), (5, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    test_pii.KEY = "change-this-key"
+    kept = [(5, plain[0]), (None, plain[1]), (3, plain[2]), (2, plain[3]), (9, plain[4]), (7, None), (7, None), (None, ""), (8, rows[-1][1])]
+    assert got == sorted((d is None, d or 0, hashlib.sha256((test_pii.brute(t)[0] or "").encode()).hexdigest()) for d, t in kept)
+
+
+def test_no_documents(spark, tmp_path):
+    docs, _ = frame(spark, [(1, "a")])
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
