@@ -4,6 +4,11 @@ toxicity rejects documents that score as toxic; near_duplicates keeps one docume
 shingles, similarity 0.8); decontamination rejects documents that hold a benchmark window; pii replaces
 personal data by pseudonyms; bpe returns each document's tokens, and digests of them and of what they
 decode to.  All but the last stage return the columns of documents.
+
+Defined results: rows are judged one by one, by their own texts.  A null text scores as an empty one, is linked
+with nothing, holds no benchmark window and encodes to no tokens.  Of near duplicates the row of the least id
+stays, rows without an id coming last, and one of rows that are equal in id and text.  Other columns, whatever
+their names, pass through to the last stage, which returns its own.  No documents give no rows.
 """
 
 from __future__ import annotations
