@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .config import MemoryConfig
 from .functions import vec
 from .operators import lifecycle, log, retrieve, search
-from .operators.components import checkpointed
+from .operators.components import checkpointed, scratch_folder
 from .sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA, validated, with_dense_ids
 from .sources.store import Store
 
@@ -63,9 +63,11 @@ class Memory:
             raise ValueError("an action scale needs actions")
         if index is not None and options.hot_capacity is not None:
             raise ValueError("tiers have indexes of their own")
-        self.spark, self.config, self.options, self.store, self.policy = spark, config, options, store, policy
+        # without a store of its own it has one in the shared folder, which goes with the session
+        self.store = store or Store(spark, scratch_folder(spark, "memory"), config)
+        self.spark, self.config, self.options, self.policy = spark, config, options, policy
         self.scorer, self.index, self.expander, self.predictor = scorer, index, expander, predictor
-        self.log = store.read() if store else spark.createDataFrame([], SCHEMA)
+        self.log = self.store.read()
         self.edges: DataFrame | None = None
         self.centroids: DataFrame | None = None
         self.lists: DataFrame | None = None  # (id, list_id, distance) of every row, once there are centroids
@@ -91,11 +93,8 @@ class Memory:
         new = with_dense_ids(validated(rows, self.config.dim, self.config.action_dim), first, order, sizes)
         new = new.withColumn("z", vec.normalize(F.col("z"))).withColumn("flags", F.lit(0)).select(*SCHEMA.names)
         new = checkpointed(new)
-        if self.store:
-            self.store.append(new)
-            self.log = self.store.read()
-        else:
-            self.log = checkpointed(self.log.unionByName(new))
+        self.store.append(new)
+        self.log = self.store.read()
         if self.tiers is not None:
             self.tiers = self.tiers.unionByName(new.select("id", F.lit("hot").alias("tier")))
         if self.centroids is not None:  # only new rows are assigned
@@ -183,13 +182,12 @@ class Memory:
         return self.predictor(queries, context) if self.predictor else retrieve.predict(queries, context, alpha)
 
     def tombstone(self, ids: DataFrame) -> None:
-        self._set(ids, FLAG_DELETED)
+        self.store.flag(ids, FLAG_DELETED)
+        self.log = self.store.read()
 
     def pin(self, ids: DataFrame) -> None:
-        self._set(ids, FLAG_PINNED)
-
-    def _set(self, ids: DataFrame, flag: int) -> None:
-        self._swap(checkpointed(log.with_flags(self.log, log.flag_events(ids, flag))))
+        self.store.flag(ids, FLAG_PINNED)
+        self.log = self.store.read()
 
     def tag_outcome(self, token: int, helped: bool, now_ns: int) -> None:
         """A verdict on what a token returned; unknown tokens and second verdicts change nothing."""
@@ -260,10 +258,8 @@ class Memory:
         return new.stats
 
     def _swap(self, rows: DataFrame) -> None:
-        if self.store:
-            self.store.replace(rows)
-            rows = self.store.read()
-        self.log = rows
+        self.store.replace(rows)
+        self.log = self.store.read()
 
 
 @dataclass

@@ -16,18 +16,23 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or "file:///tmp/checkpoints").rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table written in the folder of spark.checkpoint.dir and read back, which cuts its lineage.
 
     Unlike checkpoint(), this leaves the constraints behind that the optimiser has inferred for df; carried
     from round to round of an iteration, they make planning take longer than the work.  The files go when
     the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def least_labels(edges: DataFrame) -> DataFrame:

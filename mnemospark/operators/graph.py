@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.experience import by_episode
 from .components import checkpointed
@@ -34,21 +39,38 @@ def analogous_edges(log: DataFrame, n: int = 3, threshold: float = 0.5, fetch_fa
     return kept.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"), F.lit(ANALOGOUS).alias("edge_type"))
 
 
+def _fold_rows(degree: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, slots, done = None, [], []
+        for batch in batches:
+            for s, dst, weight, kind in zip(*(batch.column(c).to_pylist() for c in ("src", "dst", "weight", "edge_type")), strict=True):
+                if s != src:
+                    done += [(src, i, *slot) for i, slot in enumerate(slots)]
+                    src, slots = s, []
+                at = next((i for i, slot in enumerate(slots) if slot[0] == dst), len(slots))
+                if at == degree:  # full, and a new dst
+                    at = min(range(degree), key=lambda i: slots[i][1]) if degree else 0
+                    if not degree or weight <= slots[at][1]:
+                        continue
+                slots[at : at + 1] = [(dst, weight, kind)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in done], schema=schema)
+            done = []
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (src, i, *slot), strict=True)) for i, slot in enumerate(slots)], schema=schema)
+
+    return run
+
+
 def bounded_edges(upserts: DataFrame, degree: int) -> DataFrame:
     """(src, slot, dst, weight, edge_type) after applying upserts (ord, src, dst, weight, edge_type) in order.
 
     A known dst is overwritten in its slot; a free slot is taken; else the first slot of least weight is
-    replaced if the new weight is strictly greater.  Self-loops are ignored.  A fold over the ordered
-    upserts of a source; the builder makes a bounded number of them per row."""
-    entry = "named_struct('dst', u.dst, 'weight', u.weight, 'edge_type', u.edge_type)"
-    at = "array_position(transform(s, e -> e.dst), u.dst)"
-    low = "array_position(transform(s, e -> e.weight), array_min(transform(s, e -> e.weight)))"
-    put = lambda i: f"transform(s, (e, k) -> IF(k = {i} - 1, {entry}, e))"
-    step = f"CASE WHEN {at} > 0 THEN {put(at)} WHEN size(s) < {degree} THEN concat(s, array({entry})) WHEN u.weight > array_min(transform(s, e -> e.weight)) THEN {put(low)} ELSE s END"
-    empty = "CAST(array() AS array<struct<dst: bigint, weight: double, edge_type: int>>)"
-    rows = upserts.where("src <> dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "dst", "weight", "edge_type"))).alias("ups"))
-    slots = rows.select("src", F.expr(f"aggregate(ups, {empty}, (s, u) -> {step})").alias("slots"))
-    return slots.select("src", F.posexplode("slots").alias("slot", "e")).select("src", "slot", "e.dst", "e.weight", "e.edge_type")
+    replaced if the new weight is strictly greater.  Self-loops are ignored.  Upserts are dealt by source and
+    sorted within partitions; a task passes over its rows once and holds the slots of one source, however many
+    upserts a source has."""
+    rows = upserts.where("src <> dst").select("src", "ord", "dst", F.col("weight").cast("double").alias("weight"), F.col("edge_type").cast("int").alias("edge_type"))
+    rows = rows.repartition("src").sortWithinPartitions("src", "ord", "dst", "weight", "edge_type").select("src", "dst", "weight", "edge_type")
+    kind = "src long, slot int, dst long, weight double, edge_type int"
+    return rows.mapInArrow(_fold_rows(degree, to_arrow_schema(T.StructType.fromDDL(kind))), kind)
 
 
 def upserts_of(log: DataFrame, analogous: DataFrame, temporal_weight: float = 1.0) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import evaluate as ev
 from ..operators import experiment, graph, lifecycle, log, retrieve, search, trigger
-from ..operators.components import checkpointed, shared_folder
+from ..operators.components import checkpointed, scratch_folder
 from ..sources import records, synthetic
 from ..sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA, from_tables
 from ..sources.store import Store
@@ -500,9 +500,7 @@ def gated_retrieval(s, d):
 
 
 def _scratch(s, name):
-    import uuid
-
-    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(s, name)
 
 
 @query

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MemoryConfig
+from ..operators.log import flag_events, with_flags
 from .experience import SCHEMA, validated, with_dense_ids
 
+FLAGS = "id long, flag int"
 #: Pointers are kept for readers that have just looked; older ones go.
 KEPT_POINTERS = 3
 
@@ -68,8 +70,16 @@ class Store:
             fs.delete(self._path(f"current-{old:012d}.json"), False)
 
     def read(self) -> DataFrame:
-        parts = [f"{self.path}/{p}" for p in self.meta["parts"]]
-        return self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
+        """The rows, with the flags that were set on them since."""
+        parts, flags = ([f"{self.path}/{p}" for p in self.meta.get(k, [])] for k in ("parts", "flags"))
+        rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
+        return with_flags(rows, self.spark.read.schema(FLAGS).parquet(*flags)) if flags else rows
+
+    def flag(self, ids: DataFrame, flag: int) -> None:
+        """Set a flag on rows, as facts beside them; no row is rewritten until the table is."""
+        part = "f-" + uuid.uuid4().hex
+        flag_events(ids, flag).write.parquet(f"{self.path}/{part}")
+        self._write_pointer(self.meta | {"flags": [*self.meta.get("flags", []), part]})
 
     def scan(self, start_id: int = 0) -> DataFrame:
         """Rows from start_id on in id order; files and row groups below it are skipped by their statistics."""
@@ -98,4 +108,4 @@ class Store:
         """Make these rows the table, as one part; readers of the old parts aren't disturbed."""
         part = "p-" + uuid.uuid4().hex
         rows.select(*SCHEMA.names).sortWithinPartitions("id").write.parquet(f"{self.path}/{part}")
-        self._write_pointer(self.meta | {"parts": [part]})
+        self._write_pointer(self.meta | {"parts": [part], "flags": []})

@@ -74,6 +74,20 @@ def test_store(spark, tmp_path):
     assert Store(spark, path).count() == 8 and old.count() == 15  # readers of the old version see it still
 
 
+def test_flags_are_facts_beside_the_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = Store(spark, path, MemoryConfig(4, 2))
+    store.append(spark.createDataFrame(rows(10), SCHEMA))
+    before = store.meta["parts"]
+    store.flag(spark.createDataFrame([(1,), (2,)], "id long"), 1)
+    store.flag(spark.createDataFrame([(2,), (99,)], "id long"), 2)
+    assert store.meta["parts"] == before
+    store.append(spark.createDataFrame(rows(12)[10:], SCHEMA))
+    assert {r.id: r.flags for r in Store(spark, path).read().collect()} == dict.fromkeys(range(12), 0) | {1: 1, 2: 3}
+    store.replace(store.read())
+    assert {r.id: r.flags for r in Store(spark, path).read().where("flags > 0").collect()} == {1: 1, 2: 3} and store.meta["flags"] == []
+
+
 def test_pointers_of_a_store(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     store, other = Store(spark, path, MemoryConfig(4, 2)), Store(spark, path)
