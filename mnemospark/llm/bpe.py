@@ -62,9 +62,11 @@ class ByteBPE:
             self.bytes[i] = t.encode()
         self.ids = {b: i for i, b in enumerate(self.bytes) if b and i not in set(self.special.values())}
         self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
-        self.reach: dict[bytes, int] = {}  # length of the longest token by its first two bytes
+        found: dict[bytes, set[int]] = {}
         for b in self.ids:
-            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
+            if len(b) > 3:
+                found.setdefault(b[:4], {1, 2, 3}).add(len(b))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}  # that tokens with these first four bytes have
         # merges by rank; a token made by no merge is a single byte
         n = self.size
         self.left, self.right, self.rank = np.arange(n), np.arange(n), np.full(n, -1, np.int64)
@@ -81,7 +83,12 @@ class ByteBPE:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_rank = np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        # for words of usual length: (left, right) and (rank, result) as one number each
+        self.merges = len(spec["model"]["merges"])
+        self.made = np.zeros(self.merges + 1, np.int64)  # by rank
+        for r, made in self.merge.values():
+            self.made[r] = made
+        self.byte_ids = np.array([self.ids.get(bytes([b]), 0) for b in range(256)], np.int64)
+        # for single words: (left, right) and (rank, result) as one number each
         self.joined = {a << _BITS | b: r << _BITS | made for (a, b), (r, made) in self.merge.items()}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -90,15 +97,14 @@ class ByteBPE:
         self.reached = np.zeros(n, np.int8)  # 0: not tested, 1: merging its bytes gives the token, 2: it doesn't
 
     def greedy(self, word: bytes) -> list[int]:
-        ids, reach, out, i, n = self.ids, self.reach, [], 0, len(word)
+        get, lengths, out, i, n = self.ids.get, self.lengths.get, [], 0, len(word)
         while i < n:
-            j = min(n, i + reach.get(word[i : i + 2], 1))
-            t = ids.get(word[i:j])
-            while t is None:
-                j -= 1
-                t = ids.get(word[i:j])
+            for size in lengths(word[i : i + 4], (3, 2, 1)):
+                t = get(word[i : i + size])
+                if t is not None:
+                    break
             out.append(t)
-            i = j
+            i += size
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,6 +176,58 @@ class ByteBPE:
                 heapq.heappush(heap, (m[0], h, m[1], parts[h], made))
         return [p for p in parts if p >= 0]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of the merges of the pairs, by rank; the number of merges where there is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], self.merges)
+
+    def exact_batch(self, words: list[bytes]) -> list[list[int]]:
+        """exact() of many words at once: each round merges, in every word that has one, its leftmost pair of lowest rank."""
+        out: list[list[int]] = [[]] * len(words)
+        usual = []
+        for i, w in enumerate(words):
+            if 2 <= len(w) <= 40:
+                usual.append(i)
+            else:
+                out[i] = self.exact(w)
+        if not usual:
+            return out
+        size = np.array([len(words[i]) for i in usual], np.int64)
+        token = self.byte_ids[np.frombuffer(b"".join(words[i] for i in usual), np.uint8)]
+        owner = np.repeat(np.arange(len(usual)), size)
+        rank = np.full(len(token), self.merges)  # of the pair that begins here; none at the end of a word
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._ranks(token[inner], token[inner + 1])
+        while len(token):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            best = np.minimum.reduceat(rank, first)
+            n = np.diff(first, append=len(token))
+            over = np.repeat(best == self.merges, n)
+            if over.any():  # words without a merge are ready
+                ready = np.split(token[over], np.cumsum(n[best == self.merges])[:-1])
+                for k, ids in zip(owner[first[best == self.merges]].tolist(), ready, strict=True):
+                    out[usual[k]] = ids.tolist()
+                token, owner, rank = token[~over], owner[~over], rank[~over]
+                n, best = n[best < self.merges], best[best < self.merges]
+                if not len(token):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, n))
+            at = hit[np.concatenate(([True], owner[hit[1:]] != owner[hit[:-1]]))]
+            token[at] = self.made[rank[at]]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))  # where the merged tokens stand after the others have gone
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            changed = np.concatenate((moved, moved[moved > 0] - 1))
+            changed = changed[changed + 1 < len(token)]
+            rank[moved] = self.merges
+            whole = owner[changed] == owner[changed + 1]
+            rank[changed[~whole]] = self.merges
+            changed = changed[whole]
+            rank[changed] = self._ranks(token[changed], token[changed + 1])
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Encode words that the cache lacks: propose, test all adjacent pairs at once, merge the failing words."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -182,9 +240,12 @@ class ByteBPE:
         for t in np.unique(flat[self.reached[flat] == 0]).tolist():
             self.reached[t] = 1 if self.exact(self.bytes[t]) == [t] else 2
         wrong |= set(owner[self.reached[flat] == 2].tolist())
+        wrong = sorted(wrong)
+        for i, ids in zip(wrong, self.exact_batch([raw[i] for i in wrong]), strict=True):
+            proposed[i] = ids
         packed = self.packed
-        for i, w in enumerate(words):
-            self.cache[w] = b"".join([packed[t] for t in (self.exact(raw[i]) if i in wrong else proposed[i])])
+        for w, ids in zip(words, proposed, strict=True):
+            self.cache[w] = b"".join([packed[t] for t in ids])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -72,3 +72,16 @@ def test_frames(spark, both):
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert [r.decoded for r in decode(encode(docs, default_vocabulary()), default_vocabulary()).collect()] == [t or "" for _, t, _ in rows]
     assert round_trip(docs.limit(0), default_vocabulary()).count() == 0
+
+
+def test_merging_many_words_equals_merging_one():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        bpe = ByteBPE(f.read())
+    rng = random.Random(5)
+    pieces = [b for b in bpe.bytes[:20000] if b and b in bpe.ids]
+    words = [b"", b"a", b"aaaaaaaa", b"x" * 40, b"x" * 41, b"abcabcabc" * 30] + [bytes(rng.randrange(256) for _ in range(rng.randint(2, 50))) for _ in range(500)]
+    words += [b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(3000)] + [bytes(rng.choice(b"aeimnst ") for _ in range(rng.randint(2, 40))) for _ in range(2000)]
+    assert bpe.exact_batch(words) == [bpe.exact(w) for w in words]
+    assert bpe.exact_batch([]) == []
