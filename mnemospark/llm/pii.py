@@ -27,7 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_KEY = "change-this-key"
+#: Session setting that holds the secret key of the registered query and the pipeline, and the public key that
+#: they take without it, for tests and checks: whoever knows the key can undo the pseudonyms.
+KEY_SETTING, TEST_KEY = "spark.mnemospark.pii.key", "change-this-key"
 ROUNDS = 10
 #: Days from 1900-01-01 on that dates are permuted in: 270 * 270.
 DAYS = 270
@@ -178,13 +180,15 @@ def _pseudonym(m: str, key: str) -> str:
     )
 
 
-def pseudonym(column: str, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(column: str, key: str) -> Column:
     """The pseudonym of a column that holds a single value of one of the formats; what doesn't validate stays."""
     return F.expr(f"CASE WHEN `{column}` RLIKE {_text('^(?:' + _any() + ')$')} THEN {_let(f'`{column}`', 'm', _pseudonym('m', key))} ELSE `{column}` END")
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str | None = "n_private") -> DataFrame:
-    """docs with the valid finds in text_col replaced; count_col, if given, counts them."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_private") -> DataFrame:
+    """docs with the valid finds in text_col replaced; count_col, if given, counts them. key: a secret."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     t, held = "`__private_text`", "__pseudonymised"  # names that no lambda variable has
     finds = f"regexp_extract_all({t}, {_text(_any())}, 0)"
     pairs = f"transform({finds}, m -> named_struct('old', m, 'new', {_pseudonym('m', key)}))"
@@ -197,5 +201,9 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     return out.select(*columns, *([F.coalesce(F.col(f"{held}.n"), F.lit(0)).alias(count_col)] if count_col else []))
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))

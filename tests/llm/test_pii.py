@@ -196,7 +196,21 @@ def test_is_a_permutation_within_the_format(spark, kind):
 
 
 def test_no_python_and_no_shuffle(spark, capsys):
-    pii.pseudonymise(spark.createDataFrame([(1, "a")], "doc_id long, text string")).explain()
+    pii.pseudonymise(spark.createDataFrame([(1, "a")], "doc_id long, text string"), KEY).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Exchange" not in plan
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_the_key(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "card 4111111111111111")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = pii.op5_pii(spark, str(tmp_path)).first().text
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    try:
+        own = pii.op5_pii(spark, str(tmp_path)).first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert own == pii.pseudonymise(docs, "secret").first().text != plain == pii.pseudonymise(docs, pii.TEST_KEY).first().text
