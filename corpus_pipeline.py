@@ -20,7 +20,7 @@ from mnemospark.llm.bpe import default_vocabulary, round_trip
 from mnemospark.llm.common import stored, table
 from mnemospark.llm.decontaminate import remove_contaminated
 from mnemospark.llm.near_duplicates import drop_near_duplicates
-from mnemospark.llm.pii import pseudonymise
+from mnemospark.llm.pii import pseudonymise, session_key
 from mnemospark.llm.toxicity import reject_toxic
 
 
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pseudonymise(docs, count_col=None)
+    out = pseudonymise(docs, session_key(spark), count_col=None)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
