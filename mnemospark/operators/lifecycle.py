@@ -20,7 +20,10 @@ from ..sources.experience import FLAG_DELETED, FLAG_PINNED, SCHEMA
 from .components import checkpointed, least_labels
 from .graph import bounded_edges
 from .log import live, pinned
-from .search import BLOCK, STEP, as_matrix, exact_topk, ivf_topk
+from .search import STEP, as_matrix, exact_topk, ivf_topk
+
+#: Nodes, and bytes of their vectors, of one chunk of an episode in a similarity join.
+CHUNK_NODES, CHUNK_BYTES = 4096, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -108,7 +111,9 @@ def similar_pairs(rows: DataFrame, threshold: float, allow_cross_episode: bool =
     """(a, b, score), a < b: all rows at the threshold or more, however many partners a row has.
 
     Copies of a vector (in one episode, unless pairs across are allowed) are one node, their least id, and are
-    paired with that node only.  Blocks of nodes are broadcast and multiplied with each Arrow batch of nodes.
+    paired with that node only.  The nodes of an episode (of the log, if pairs across are allowed) are dealt into
+    chunks of bounded size, and each two chunks are multiplied in one task, so that nodes of different episodes
+    never meet and an episode that holds most rows is many tasks; a node is copied once per chunk of its episode.
     spanning: of each such product only links that connect the same nodes, no more than it has nodes, so that
     a large group doesn't make rows of all its pairs."""
     group = F.lit(0).cast("long") if allow_cross_episode else F.col("episode_id").cast("long")
@@ -117,29 +122,32 @@ def similar_pairs(rows: DataFrame, threshold: float, allow_cross_episode: bool =
     copies = unit.select("episode", "v", F.col("id").alias("b")).join(classes.withColumnRenamed("id", "a"), ["episode", "v"]).where("a <> b").select("a", "b", F.lit(1.0).alias("score"))
     if threshold > 1:
         copies = copies.limit(0)
-    blocks, found = max(1, -(-classes.count() // BLOCK)), copies
-    for b in range(blocks):
-        mine = classes if blocks == 1 else classes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        t = mine.toArrow().combine_chunks()
-        sent = rows.sparkSession.sparkContext.broadcast((t.column("id").to_numpy(), t.column("episode").to_numpy(), as_matrix(t.column("v").combine_chunks()) if len(t) else None))
-        found = found.unionByName(classes.mapInArrow(_similar(sent, threshold, spanning), "a long, b long, score double"))
-    return found
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK_NODES, F.sum(F.size("v")) * 8 / CHUNK_BYTES)).cast("int")
+    sizes = checkpointed(classes.groupBy("episode").agg(chunks.alias("chunks"), F.count("*").alias("nodes")).where("nodes > 1"))
+    dealt = classes.join(sizes, "episode").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    dealt = dealt.select("episode", "id", "v", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("episode", "id", "v", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    return copies.unionByName(dealt.groupBy("episode", "lo", "hi").applyInArrow(_similar(threshold, spanning), "a long, b long, score double"))
 
 
-def _similar(sent, threshold: float, spanning: bool):
+def _similar(threshold: float, spanning: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, episodes, q = sent.value
-        for batch in batches:
-            if not len(batch) or q is None:
-                continue
-            ids, episode, m = batch.column("id").to_numpy(), batch.column("episode").to_numpy(), as_matrix(batch.column("v"))
-            for lo in range(0, len(q), STEP):  # bounds the score matrix to STEP rows
-                part = slice(lo, lo + STEP)
-                scores = q[part] @ m.T
-                near = (scores >= threshold) & (ids[None, :] > asked[part, None]) & (episode[None, :] == episodes[part, None])
-                i, j = _spanning(near) if spanning else np.nonzero(near)
-                if len(i):
-                    yield pa.record_batch([pa.array(asked[part][i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["a", "b", "score"])
+        group = pa.Table.from_batches(batches).combine_chunks()  # one chunk, or two
+        ids, chunk = group.column("id").to_numpy(), group.column("chunk").to_numpy()
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        m = as_matrix(group.column("v").combine_chunks())
+        theirs, other = ids[chunk == hi], m[chunk == hi].T
+        mine, own = ids[chunk == lo], m[chunk == lo]
+        for start in range(0, len(mine), STEP):  # bounds the score matrix to STEP rows
+            part = slice(start, start + STEP)
+            scores = own[part] @ other
+            near = scores >= threshold
+            if lo == hi:
+                near &= theirs[None, :] > mine[part, None]
+            i, j = _spanning(near) if spanning else np.nonzero(near)
+            if len(i):
+                a, b = mine[part][i], theirs[j]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(scores[i, j])], names=["a", "b", "score"])
 
     return run
 

@@ -359,7 +359,9 @@ def test_compaction_merges_and_renumbers(spark):
     assert lifecycle.compact(e, threshold=0.999, merge=False).stats["records_merged"] == 0
 
 
-def test_compaction_links_groups_of_any_size(spark):
+@pytest.mark.parametrize("chunk_nodes", [4096, 7])
+def test_compaction_links_groups_of_any_size(spark, monkeypatch, chunk_nodes):
+    monkeypatch.setattr(lifecycle, "CHUNK_NODES", chunk_nodes)
     rng = np.random.default_rng(3)
     a, b = np.eye(8)[0], np.eye(8)[0] * 0.9 + np.eye(8)[1] * np.sqrt(1 - 0.81)
     vectors = [a] * 15 + [b] * 15 + [v / np.linalg.norm(v) for v in a + 0.02 * rng.standard_normal((40, 8))] + [np.eye(8)[5]] * 2
@@ -391,6 +393,21 @@ def test_compaction_links_groups_of_any_size(spark):
     assert labels(lifecycle.near_duplicate_pairs(e, 0.85, k=10)) != linked
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_pairs_of_one_hot_episode_and_of_chunks_of_it(spark, monkeypatch, across):
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((90, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, 0 if i < 60 else i // 3, i, NOW, 0.5, 0, v.tolist(), None) for i, v in enumerate(vectors)]
+    e = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    scores = vectors @ vectors.T
+    want = {(i, j): scores[i, j] for i in range(90) for j in range(i + 1, 90) if scores[i, j] >= 0.6 and (across or rows[i][1] == rows[j][1])}
+    monkeypatch.setattr(lifecycle, "CHUNK_BYTES", 4 * 8 * 11)  # eleven vectors a chunk
+    got = [(r.a, r.b, r.score) for r in lifecycle.similar_pairs(e, 0.6, across).collect()]
+    assert len(got) == len(want) and {(a, b): pytest.approx(s) for a, b, s in got} == want
+    assert lifecycle.similar_pairs(e.limit(0), 0.6, across).isEmpty()
+
+
 def test_eviction_keeps_errors_pins_and_useful_rows(spark):
     rows, _ = experience(spark, 20)
     rows = [(*r[:3], NOW, i / 100, *r[5:]) for i, r in enumerate(rows)]
